@@ -8,19 +8,27 @@ import shutil
 import tempfile
 import zipfile
 from pathlib import Path
+from urllib.parse import urlparse
 
 from pyspark.sql import SparkSession
 
 _shipped: set[str] = set()
 
 
+def shared_elsewhere(spark: SparkSession) -> bool:
+    """Is the cluster's shared folder on a file system that isn't mounted here?"""
+    return urlparse(spark.sparkContext.getConf().get("spark.checkpoint.dir") or "").scheme not in ("", "file")
+
+
 def ship(spark: SparkSession) -> SparkSession:
     """Make this package importable by the Python workers, wherever the session came from."""
     app = spark.sparkContext.applicationId
     if app not in _shipped:
         root = Path(__file__).resolve().parent
-        at = tempfile.mkdtemp(prefix="corpusloom-code-")  # the driver serves the file to executors as long as it lives
-        atexit.register(shutil.rmtree, at, ignore_errors=True)
+        at = urlparse(spark.sparkContext.getConf().get("spark.checkpoint.dir") or "").path if not shared_elsewhere(spark) else ""
+        if not at or not os.path.isdir(at):
+            at = tempfile.mkdtemp(prefix="corpusloom-code-")  # the driver serves the file to executors as long as it lives
+            atexit.register(shutil.rmtree, at, ignore_errors=True)
         path = os.path.join(at, "corpusloom.zip")
         with zipfile.ZipFile(path, "w") as z:
             for p in sorted(root.rglob("*.py")):
