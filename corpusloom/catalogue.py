@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE: dict[str, str] = {}
+from .queries import graphs, retrieval, texts  # noqa: F401  (they register themselves)
+from .queries.common import ORACLE, QUERIES
+
+__all__ = ["ORACLE", "QUERIES"]
