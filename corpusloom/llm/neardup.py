@@ -18,7 +18,7 @@ _ROW = U(53)
 _ELEMENT = U((1 << 53) - 1)
 _SIGNED = 1 << 63
 #: Coordinates in a band and bands used to find first links; they only save work, no link depends on them.
-BAND, BANDS = 4, 8
+BAND, BANDS, HEADS = 4, 16, 3
 #: Bits of the filter that tells which texts are wanted.
 WANTED = 1 << 23
 _POSTS = pa.schema([("bucket", pa.int32()), ("key", pa.binary()), ("node", pa.binary()), ("n", pa.binary()), ("label", pa.binary()), ("sig", pa.binary())])
@@ -118,14 +118,15 @@ def _alike(k: int, least: int):
     return run
 
 
-def _strong(reps: DataFrame, k: int, need: int) -> DataFrame:
-    """At most one likely link for each node: to the first node of the band it shares most, if nearly all coordinates agree."""
+def _first_links(reps: DataFrame, k: int, need: int) -> DataFrame:
+    """A few likely links for each node: to the first nodes of the bands it shares most, if enough coordinates agree."""
     bands = reps.select("cls", "sig").mapInArrow(_band_rows(k), "key long, cls long")
     heads = bands.groupBy("key").agg(F.min("cls").alias("a"), F.count("*").alias("c")).filter("c > 1").select("key", "a")
     pairs = bands.withColumnRenamed("cls", "b").join(heads, "key").filter("a <> b").groupBy("a", "b").count()
-    best = pairs.groupBy("b").agg(F.max(F.struct("count", "a"))["a"].alias("a"))
+    best = pairs.groupBy("b").agg(F.slice(F.sort_array(F.collect_list(F.struct("count", "a")), asc=False), 1, HEADS).alias("h"))  # at most BANDS for each node
+    best = best.select("b", F.explode("h.a").alias("a"))
     both = best.join(reps.select(F.col("cls").alias("a"), F.col("sig").alias("sa")), "a").join(reps.select(F.col("cls").alias("b"), F.col("sig").alias("sb")), "b")
-    return both.select("a", "b", "sa", "sb").mapInArrow(_alike(k, max(need, k * 9 // 10)), _PAIRS)
+    return both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "sa", "sb").mapInArrow(_alike(k, need), _PAIRS).distinct()
 
 
 def _slots(k: int, bits: int):
@@ -347,26 +348,18 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     nothing, has a null component_id and is kept.
 
     A pair at the threshold shares too few of the ``k`` coordinates with probability 1e-6 at most (``matches_needed``); every candidate is
-    confirmed on full sets.  Nodes of one strong group are not paired with each other; should a link of such a group fail
-    confirmation, its nodes are joined again under their confirmed groups.
+    confirmed on full sets.  A few likely links of each node are confirmed first; nodes that these connect are not paired with
+    each other by the join, so a group of any size costs its links, not its pairs.
     """
     num, den = percent, 100
     need = matches_needed(k, percent / 100)
     src = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     rows = written(src.mapInArrow(_sketch(width, k), "doc_id long, n long, cls long, sig binary"), "sketches")
     reps = written(rows.filter("n > 0 and doc_id is not null").groupBy("cls", "n").agg(F.min("doc_id").alias("doc"), F.any_value("sig").alias("sig")), "nodes")
-    strong = written(_strong(reps, k, need), "strong")
-    labels = connected(strong)
     named = lambda roots: reps.join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("label", F.coalesce("root", "cls"))
-    pairs = written(_join(named(labels), k, need, num, den, hot), "pairs")
-    ordered = strong.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    checked = written(_confirm(ordered.unionByName(pairs).distinct(), reps, src, width, num, den), "checked")
-    edges = checked.filter("ok").select("a", "b")
-    broken = written(checked.filter("not ok").join(ordered, ["a", "b"], "left_semi").join(labels.withColumnRenamed("node", "a"), "a").select("root").distinct(), "broken")
-    if not broken.isEmpty():
-        inside = labels.join(broken, "root", "left_semi").select(F.col("node").alias("cls"))
-        again = written(_join(named(connected(edges)).join(inside, "cls", "left_semi"), k, need, num, den, hot).join(checked, ["a", "b"], "left_anti"), "pairs")
-        edges = edges.unionByName(_confirm(again, reps, src, width, num, den).filter("ok").select("a", "b"))
+    first = written(_confirm(written(_first_links(reps, k, need), "likely"), reps, src, width, num, den).filter("ok").select("a", "b"), "links")
+    pairs = written(_join(named(connected(first)), k, need, num, den, hot), "pairs")
+    edges = first.unionByName(_confirm(pairs, reps, src, width, num, den).filter("ok").select("a", "b"))
     roots = connected(edges)
     named_by = roots.join(reps.select(F.col("cls").alias("node"), "doc"), "node")
     least = named_by.groupBy("root").agg(F.min("doc").alias("component"))
