@@ -72,7 +72,7 @@ def _classify(dictionaries: dict[str, tuple[int, bytes]], level: int, block: int
     return run
 
 
-def identify(docs: DataFrame, dictionaries: dict[str, tuple[int, bytes]], id_col: str = "doc_id", text_col: str = "text", level: int = 1, block: int = 8192, min_margin: float = 0.01) -> DataFrame:
+def identify(docs: DataFrame, dictionaries: dict[str, tuple[int, bytes]], id_col: str = "doc_id", text_col: str = "text", level: int = 6, block: int = 8192, min_margin: float = 0.01) -> DataFrame:
     """The language whose dictionary makes a whole text smallest: doc_id, lang_pred, score, margin, rejected.
 
     A text is compressed in blocks of ``block`` bytes, all of them, with each dictionary; sizes are summed, and
