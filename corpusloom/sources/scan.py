@@ -88,9 +88,8 @@ def scan_key(path: Column) -> Column:
 def listing(spark: SparkSession, root: str, include_hidden: bool = False, gitignore: bool = True, defaults: bool = True, include: list[str] | None = None, exclude: list[str] | None = None, out_dir: str | None = None) -> DataFrame:
     """source_id, path, type, length of the files to read, in scan order.  The bytes are not read here."""
     base = Path(root).resolve()
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(str(base)).select("path", "length")
-    rel = F.regexp_replace(F.regexp_replace("path", "^file:/+", "/"), "^" + re.escape(str(base)) + "/", "")
-    files = files.select("length", F.col("path").alias("uri"), F.url_decode(F.replace(rel, F.lit("+"), F.lit("%2B"))).alias("path"))
+    found = [(str(p.relative_to(base)), p.stat().st_size, p.as_uri()) for p in base.rglob("*") if p.is_file()]  # names only; Spark's own listing leaves out empty files
+    files = spark.createDataFrame(found, "path string, length long, uri string")
     files = files.filter(F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1)).isin(*SUFFIXES))
     if not include_hidden:
         files = files.filter(~F.col("path").rlike(r"(^|/)\."))
@@ -109,13 +108,14 @@ def source_id(n: Column) -> Column:
 
 def contents(spark: SparkSession, files: DataFrame, root: str) -> DataFrame:
     """The listing with the files' bytes."""
-    data = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(str(Path(root).resolve())).select(F.col("path").alias("uri"), "content")
-    return files.join(data, "uri")
+    plain = lambda c: F.regexp_replace(c, "^file:/+", "/")
+    data = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(str(Path(root).resolve())).select(plain(F.col("path")).alias("_at"), "content")
+    return files.withColumn("_at", plain(F.col("uri"))).join(data, "_at", "left").drop("_at").withColumn("content", F.coalesce("content", F.lit("").cast("binary")))
 
 
 def decoded(content: Column) -> Column:
     """UTF-8 with or without a mark; undecodable bytes become the replacement character."""
-    return F.regexp_replace(F.decode(content, "UTF-8") if False else F.make_valid_utf8(content.cast("string")), "^﻿", "")
+    return F.regexp_replace(F.make_valid_utf8(content.cast("string")), "^﻿", "")
 
 
 @dataclass(frozen=True)
