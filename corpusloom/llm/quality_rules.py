@@ -118,6 +118,22 @@ def base_failed() -> F.Column:
     return (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
 
 
+def _fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, stratum_col: str, alpha: float, delta: float, max_strata: int) -> tuple[DataFrame, dict[tuple[str, str], int], bool]:
+    """Features of all documents, written; the chosen cutoffs; whether there are so many strata that all form one, "all"."""
+    src = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"), F.coalesce(F.col(f"`{stratum_col}`").cast("string"), F.lit("")).alias("stratum"))
+    feats = written(_with_stratum(src), "features").withColumn("base_failed", base_failed())
+    one = feats.select(F.approx_count_distinct("stratum")).first()[0] > max_strata
+    if one:
+        feats = feats.withColumn("stratum", F.lit("all"))
+    good = labels.filter("quality = 1").select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
+    held = feats.filter(~F.col("base_failed")).join(good, "doc_id", "left_semi")
+    tests = [(r, c) for r in sorted(RULES) for c in GRID[r]]
+    sums = held.groupBy("stratum").agg(F.count("*").alias("n"), *[F.sum(_breaks(r, c).cast("long")).alias(f"k{i}") for i, (r, c) in enumerate(tests)]).collect()  # a row for each stratum
+    totals = {x["stratum"]: x["n"] for x in sums}
+    counts = {(x["stratum"], r, c): x[f"k{i}"] for x in sums for i, (r, c) in enumerate(tests)}
+    return feats, choose(counts, totals, alpha, delta), one
+
+
 def filter_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang", alpha: float = 0.02, delta: float = 0.05, max_strata: int = 1000) -> DataFrame:
     """Verdicts: doc_id, the counts of ``features``, base_failed, kept, stratum, broken (names of the rules broken).
 
@@ -128,17 +144,7 @@ def filter_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     that stands repeated is judged each time; a label that stands repeated counts once.
 
     Plan: features once, written as numbers; labels join on the id; only (stratum, rule, cutoff) counts reach the driver."""
-    src = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"), F.coalesce(F.col(f"`{stratum_col}`").cast("string"), F.lit("")).alias("stratum"))
-    feats = written(_with_stratum(src), "features").withColumn("base_failed", base_failed())
-    if feats.select(F.approx_count_distinct("stratum")).first()[0] > max_strata:
-        feats = feats.withColumn("stratum", F.lit("all"))
-    good = labels.filter("quality = 1").select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
-    held = feats.filter(~F.col("base_failed")).join(good, "doc_id", "left_semi")
-    tests = [(r, c) for r in sorted(RULES) for c in GRID[r]]
-    sums = held.groupBy("stratum").agg(F.count("*").alias("n"), *[F.sum(_breaks(r, c).cast("long")).alias(f"k{i}") for i, (r, c) in enumerate(tests)]).collect()  # a row for each stratum
-    totals = {x["stratum"]: x["n"] for x in sums}
-    counts = {(x["stratum"], r, c): x[f"k{i}"] for x in sums for i, (r, c) in enumerate(tests)}
-    chosen = choose(counts, totals, alpha, delta)
+    feats, chosen, _ = _fit(docs, labels, id_col, text_col, stratum_col, alpha, delta, max_strata)
     broken = []
     for r in sorted(RULES):
         cuts = [x for (s, q), c in chosen.items() if q == r for x in (F.lit(s), F.lit(c))]
@@ -158,3 +164,34 @@ def _with_stratum(src: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*out.columns, b.column(2)], names=[*out.schema.names, "stratum"])
 
     return src.mapInArrow(run, _OUT + ", stratum string")
+
+
+def _keep(chosen: dict[tuple[str, str], int], stratum_at: int, one: bool):
+    inner = _features(8)
+    rules = sorted(RULES)
+
+    def run(batches):
+        for b in slices(batches, 1, 2 << 20, 1 << 11):
+            f = pa.Table.from_batches(inner(iter([pa.RecordBatch.from_arrays([pa.array(np.arange(b.num_rows)), b.column(1)], names=["doc_id", "text"])])))
+            n = {c: f[c].to_numpy() for c in f.schema.names}
+            ok = (n["n_words"] >= 20) & (100 * n["n_repeat_words"] <= 30 * n["n_words"])
+            strata = np.array(["all" if one else x or "" for x in b.column(stratum_at).cast(pa.string()).to_pylist()], object)
+            for s in set(strata):
+                mine = strata == s
+                for r in rules:
+                    if (s, r) in chosen:
+                        num, den = RULES[r]
+                        ok &= ~(mine & (100 * n[num] > chosen[s, r] * n[den]))
+            yield b.filter(pa.array(ok))
+
+    return run
+
+
+def keep_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang", alpha: float = 0.02, delta: float = 0.05, max_strata: int = 1000) -> DataFrame:
+    """The rows that ``filter_quality`` keeps, with all their columns.
+
+    Cutoffs are a small table, so once they are chosen a second pass judges each row where it stands: texts are never shuffled."""
+    _, chosen, one = _fit(docs, labels, id_col, text_col, stratum_col, alpha, delta, max_strata)
+    order = [id_col, text_col, *[c for c in docs.columns if c not in (id_col, text_col)]]
+    src = docs.select(*[F.col(f"`{c}`") for c in order])
+    return src.mapInArrow(_keep(chosen, order.index(stratum_col), one), src.schema).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -53,6 +53,10 @@ def test_false_rejections_stay_within_alpha_on_the_holdout(spark):
     good = [r for r in got if r.doc_id % 3]
     assert sum(not r.kept for r in good) <= 0.02 * len(good)
     assert not any(r.kept for r in got if r.doc_id % 3 == 0)
+    kept = Q.keep_quality(spark.createDataFrame(data, "doc_id long, text string, lang string"), labels)
+    assert kept.columns == ["doc_id", "text", "lang"] and sorted(r.doc_id for r in kept.collect()) == sorted(r.doc_id for r in got if r.kept)
+    few = Q.keep_quality(spark.createDataFrame(data, "doc_id long, text string, lang string"), labels, max_strata=0)
+    assert sorted(r.doc_id for r in few.collect()) == sorted(r.doc_id for r in got if r.kept)
     assert all("symbols" in r.broken for r in got if r.doc_id % 3 == 0)
 
 
@@ -63,3 +67,4 @@ def test_edges(spark, docs, empty, rows):
     assert all(r.kept != r.base_failed for r in got)
     assert all(r.base_failed == (r.n_words < 20 or 100 * r.n_repeat_words > 30 * r.n_words) for r in got)
     assert Q.filter_quality(empty, none).count() == 0
+    assert Q.keep_quality(docs, none).count() == sum(r.kept for r in got) and Q.keep_quality(empty, none).columns == empty.columns
