@@ -249,3 +249,12 @@ def eval_metrics(spark, sf):
     res = hits.select(F.lit("lexical").alias("mode"), "query_id", "rank", file.alias("file"), F.lit(None).cast("string").alias("section"), "token_count")
     return evaluation.summary(evaluation.per_query(evaluation.relevant(res, gold), b.select(F.lit("lexical").alias("mode"), F.col("item_id").alias("query_id"))))
 
+
+
+@query()
+def projection_2d(spark, sf):
+    return vectors.project(_vectors(spark, sf))
+
+
+#: Search functions (spark, sf_dir) by the name of the mode that evaluation compares.
+MODES = {"raw_file": raw_file_search, "naive_chunk": naive_chunk_search, "naive_vector": naive_vector_search, "recursive_vector": recursive_vector_search, "parent_document": parent_document_search, "lexical": bm25_fallback, "hybrid": hybrid_rrf}
