@@ -244,7 +244,7 @@ def eval_metrics(spark, sf):
     """Gold: the documents that hold the item's passage."""
     d, b = table(spark, sf, "documents"), table(spark, sf, "benchmark")
     file = F.concat(F.lit("doc_"), F.col("doc_id").cast("string"))
-    gold = d.join(F.broadcast(b.select("item_id", F.col("text").alias("passage"))), F.contains(F.col("text"), F.col("passage"))).select(F.col("item_id").alias("query_id"), file.alias("file"), F.lit(None).cast("string").alias("section"))
+    gold = d.join(b.select("item_id", F.col("text").alias("passage")), F.contains(F.col("text"), F.col("passage"))).select(F.col("item_id").alias("query_id"), file.alias("file"), F.lit(None).cast("string").alias("section"))
     hits = lexical.search(d, asked(spark, sf), 3).join(d.select("doc_id", T.token_count(F.col("text")).alias("token_count")), "doc_id")
     res = hits.select(F.lit("lexical").alias("mode"), "query_id", "rank", file.alias("file"), F.lit(None).cast("string").alias("section"), "token_count")
     return evaluation.summary(evaluation.per_query(evaluation.relevant(res, gold), b.select(F.lit("lexical").alias("mode"), F.col("item_id").alias("query_id"))))

@@ -293,3 +293,19 @@ def test_ingest_takes_each_content_once(spark, tmp_path):
     (folder / "4.txt").write_text("new"), (folder / "5.txt").write_text("other")
     ingest.ingest(spark, str(folder), table, state)
     assert sorted(r.text for r in spark.read.parquet(table).collect()) == ["new", "other", "same"]
+
+
+def test_communities_of_large_graphs_are_components(spark):
+    nodes = spark.createDataFrame([("a",), ("b",), ("c",), ("alone",)], "id string")
+    edges = spark.createDataFrame([("a", "b"), ("b", "c")], "source string, target string")
+    for most in (10, 1):
+        got = {r.id: r.community for r in graph.communities(nodes, edges, most).collect()}
+        assert got["a"] == got["b"] == got["c"] != got["alone"]
+
+
+def test_projection(spark):
+    from corpusloom.operators import vectors
+
+    v = spark.createDataFrame([(i, [float(i), 1.0, float(i % 3)]) for i in range(1, 20)], "doc_id long, embedding array<double>")
+    got = vectors.project(v).collect()
+    assert len(got) == 19 and all(10 <= r.x <= 90 and 10 <= r.y <= 90 for r in got)
