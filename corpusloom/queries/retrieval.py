@@ -120,7 +120,7 @@ def ann_topk(spark, sf):
     """An inverted-file index of all rows; the queries are the rows whose id is divisible by 20."""
     v = _vectors(spark, sf)
     centres = vectors.fit_cells(v)
-    return vectors.approximate_topk(vectors.index(v, centres), _asked_vectors(spark, sf), centres, 10, probes=max(4, -(-len(centres) // 2)))
+    return vectors.approximate_topk(vectors.index(v, centres), _asked_vectors(spark, sf), centres, 10, probes=vectors.probes_for(v, centres))
 
 
 @query("WITH x AS (SELECT label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), u AS (SELECT label, generate_subscripts(e, 1) AS i, unnest(e) / sqrt(list_inner_product(e, e)) AS v FROM x), c AS (SELECT label, i, sum(v) AS v FROM u GROUP BY ALL), n AS (SELECT label, sqrt(sum(v * v)) AS n FROM c GROUP BY label), k AS (SELECT label, count(*) AS n_rows FROM x GROUP BY label) SELECT label, n_rows, i AS position, round(v / n, 6) AS value FROM c JOIN n USING (label) JOIN k USING (label)")
