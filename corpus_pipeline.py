@@ -19,8 +19,7 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that fail the base test or break a certified rule go."""
     ship(spark)
-    verdicts = quality_rules.filter_quality(docs, table(spark, sf_dir, "labels"))
-    return docs.join(verdicts.filter(~F.col("kept")).select("doc_id"), "doc_id", "left_anti").select(*COLUMNS)
+    return quality_rules.keep_quality(docs, table(spark, sf_dir, "labels")).select(*COLUMNS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
