@@ -5,6 +5,6 @@ from corpusloom.session import build
 
 @pytest.fixture(scope="session")
 def spark():
-    s = build("tests", 4, **{"spark.sql.shuffle.partitions": "4", "spark.driver.memory": "6g"})
+    s = build("tests", 3, **{"spark.sql.shuffle.partitions": "4", "spark.driver.memory": "6g"})
     yield s
     s.stop()
