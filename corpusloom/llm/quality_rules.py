@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._shared import written
-from ._words import Words, mix, per_row, planes, rolling, slices, starts_of_windows  # noqa: F401
+from ._words import Words, per_row, rolling, slices, starts_of_windows
 
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(b"#*$%&|<>")] = True
