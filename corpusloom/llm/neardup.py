@@ -131,13 +131,9 @@ def _first_links(reps: DataFrame, k: int, need: int) -> DataFrame:
 
 def _slots(k: int, bits: int):
     def run(batches):
-        counts = np.zeros(1 << bits, np.int64)
         for b in batches:
-            counts += np.bincount((_tokens(_matrix(b.column(0), "<u4", k)) >> U(64 - bits)).ravel().astype(np.int64), minlength=1 << bits)
-        at = np.flatnonzero(counts)
-        for i in range(0, len(at), 1 << 16):
-            part = at[i : i + (1 << 16)]
-            yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(counts[part])], names=["slot", "c"])
+            at, n = np.unique(_tokens(_matrix(b.column(0), "<u4", k)) >> U(64 - bits), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(n.astype(np.int64))], names=["slot", "c"])
 
     return run
 
