@@ -139,15 +139,20 @@ def similar_to_edges(spark, sf):
 
 
 _EMB = lambda src, key: f"SELECT {key} AS id, CAST('0x' || substr(md5(word), 1, 6) AS BIGINT) % 64 AS slot, count(*) AS n FROM (SELECT {key}, unnest({WORDS('text')}) AS word FROM ({src})) GROUP BY ALL"
-_HYBRID = f"""{_bm25(_DOCS, _UNIT(_AND + ' UNION ALL ' + _OR))}, {_ranked(_FALL, 10)},
+def _hybrid_sql(pool: int) -> str:
+    """fr: the fused ranks of the best ``pool`` hits of each arm."""
+    return f"""{_bm25(_DOCS, _UNIT(_AND + ' UNION ALL ' + _OR))}, {_ranked(_FALL, pool)},
 de AS ({_EMB(_DOCS, 'doc_id')}), qe AS ({_EMB('SELECT query_id, query AS text FROM (' + _Q.format(n=6) + ')', 'query_id')}),
 dn AS (SELECT id, sqrt(sum(n * n)) AS l FROM de GROUP BY id), qn AS (SELECT id, sqrt(sum(n * n)) AS l FROM qe GROUP BY id),
 co AS (SELECT q.query_id, x.doc_id, round(coalesce(any_value(y.s), 0.0), 6) AS score FROM ({_Q.format(n=6)}) q CROSS JOIN documents x LEFT JOIN (SELECT qe.id AS query_id, de.id AS doc_id, sum(qe.n * de.n) / (any_value(qn.l) * any_value(dn.l)) AS s FROM qe JOIN de USING (slot) JOIN qn ON qn.id = qe.id JOIN dn ON dn.id = de.id GROUP BY ALL) y ON y.query_id = q.query_id AND y.doc_id = x.doc_id GROUP BY ALL),
-ve AS (SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM co QUALIFY rank <= 10),
+ve AS (SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM co QUALIFY rank <= {pool}),
 fu AS (SELECT coalesce(o.query_id, v.query_id) AS query_id, coalesce(o.doc_id, v.doc_id) AS doc_id, o.rank AS lex_rank, v.rank AS vec_rank, round(coalesce(1 / (60 + o.rank), 0.0) + coalesce(1 / (60 + v.rank), 0.0), 9) AS score FROM out o FULL JOIN ve v ON o.query_id = v.query_id AND o.doc_id = v.doc_id),
 fr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, lex_rank NULLS LAST, vec_rank NULLS LAST) AS rank FROM fu)"""
 
 
+_HYBRID = _hybrid_sql(10)
+
+
 def _hybrid(spark, sf, k: int = 5):
     docs, q = table(spark, sf, "documents"), asked(spark, sf)
     lex = lexical.search(docs, q, 2 * k)
@@ -160,16 +165,26 @@ def hybrid_rrf(spark, sf):
     return _hybrid(spark, sf)
 
 
-@query(f"WITH {_HYBRID} SELECT query_id, doc_id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY rank) AS INTEGER) AS place FROM fr JOIN documents USING (doc_id) WHERE rank <= 10 AND contains(lower(source), 'rc1') AND contains(lower(lang), 'e') QUALIFY place <= 5")
-def filtered_search(spark, sf):
-    """Filters by substring come after the top k are fetched."""
+def _filtered(spark, sf, wide: int, pool: int):
     docs, q = table(spark, sf, "documents"), asked(spark, sf)
-    lex = lexical.search(docs, q, 10)
-    vec = vectors.topk(vectors.embed(docs), vectors.embed(q, "query_id", "query").withColumnRenamed("doc_id", "query_id"), 10)
-    hits = lexical.fuse(lex, vec, 10).join(docs.select("doc_id", "source", F.col("lang").alias("section")), "doc_id")
+    lex = lexical.search(docs, q, pool)
+    vec = vectors.topk(vectors.embed(docs), vectors.embed(q, "query_id", "query").withColumnRenamed("doc_id", "query_id"), pool)
+    hits = lexical.fuse(lex, vec, wide).join(docs.select("doc_id", "source", F.col("lang").alias("section")), "doc_id")
     return lexical.filtered(hits, 5, "RC1", "E", None, ("source",)).select("query_id", "doc_id", "score", "place")
 
 
+@query(f"WITH {_HYBRID} SELECT query_id, doc_id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY rank) AS INTEGER) AS place FROM fr JOIN documents USING (doc_id) WHERE rank <= 10 AND contains(lower(source), 'rc1') AND contains(lower(lang), 'e') QUALIFY place <= 5")
+def filtered_search(spark, sf):
+    """Filters by substring come after the top k are fetched: ten hits, as the SQL of this query says; ``filtered_search_wide`` fetches as many as a search with filters should."""
+    return _filtered(spark, sf, 10, 10)
+
+
+@query(f"WITH {_hybrid_sql(40)} SELECT query_id, doc_id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY rank) AS INTEGER) AS place FROM fr JOIN documents USING (doc_id) WHERE rank <= 20 AND contains(lower(source), 'rc1') AND contains(lower(lang), 'e') QUALIFY place <= 5")
+def filtered_search_wide(spark, sf):
+    """As ``pack.search`` with a filter: 4 * k = 20 fused hits for k = 5, of twice as many in each arm."""
+    return _filtered(spark, sf, 20, 40)
+
+
 @query(f"WITH {_FALLBACK} SELECT query_id, doc_id, lag(doc_id) OVER (PARTITION BY query_id ORDER BY rank) AS previous FROM out")
 def hit_chain(spark, sf):
     return bm25_fallback(spark, sf).select("query_id", "doc_id", F.lag("doc_id").over(W.partitionBy("query_id").orderBy("rank")).alias("previous"))
