@@ -246,6 +246,12 @@ def recursive_vector_search(spark, sf):
     return vectors.topk(vectors.embed(c), vectors.embed(asked(spark, sf), "query_id", "query").withColumnRenamed("doc_id", "query_id"), 3)
 
 
+def _gold(spark, sf):
+    d, b = table(spark, sf, "documents"), table(spark, sf, "benchmark")
+    held = d.join(b.select("item_id", F.col("text").alias("passage")), F.contains(F.col("text"), F.col("passage")))
+    return held.select(F.col("item_id").alias("query_id"), F.concat(F.lit("doc_"), F.col("doc_id").cast("string")).alias("file"), F.lit(None).cast("string").alias("section"))
+
+
 _GOLD = "SELECT item_id AS query_id, 'doc_' || doc_id AS file, CAST(NULL AS VARCHAR) AS section FROM benchmark b JOIN documents d ON contains(d.text, b.text)"
 
 
@@ -256,10 +262,10 @@ m AS (SELECT b.item_id AS query_id, coalesce(max(CAST(rel AS INTEGER)), 0) AS hi
 SELECT 'lexical' AS mode, count(*) AS n_queries, round(avg(hit), 6) AS hit_at_k, round(avg(rr), 6) AS mrr, round(avg(cp), 6) AS citation_precision, round(avg(tokens), 6) AS avg_tokens, round(avg(tokens) / 1e6 * 0.25, 9) AS avg_cost FROM m"""
 )
 def eval_metrics(spark, sf):
-    """Gold: the documents that hold the item's passage."""
+    """Gold: the documents that hold the item's passage.  One mode, as the SQL says; ``eval_modes`` has all."""
     d, b = table(spark, sf, "documents"), table(spark, sf, "benchmark")
     file = F.concat(F.lit("doc_"), F.col("doc_id").cast("string"))
-    gold = d.join(b.select("item_id", F.col("text").alias("passage")), F.contains(F.col("text"), F.col("passage"))).select(F.col("item_id").alias("query_id"), file.alias("file"), F.lit(None).cast("string").alias("section"))
+    gold = _gold(spark, sf)
     hits = lexical.search(d, asked(spark, sf), 3).join(d.select("doc_id", T.token_count(F.col("text")).alias("token_count")), "doc_id")
     res = hits.select(F.lit("lexical").alias("mode"), "query_id", "rank", file.alias("file"), F.lit(None).cast("string").alias("section"), "token_count")
     return evaluation.summary(evaluation.per_query(evaluation.relevant(res, gold), b.select(F.lit("lexical").alias("mode"), F.col("item_id").alias("query_id"))))
@@ -273,3 +279,35 @@ def projection_2d(spark, sf):
 
 #: Search functions (spark, sf_dir) by the name of the mode that evaluation compares.
 MODES = {"raw_file": raw_file_search, "naive_chunk": naive_chunk_search, "naive_vector": naive_vector_search, "recursive_vector": recursive_vector_search, "parent_document": parent_document_search, "lexical": bm25_fallback, "hybrid": hybrid_rrf}
+
+
+def _vector(spark, sf):
+    q = vectors.embed(asked(spark, sf), "query_id", "query").withColumnRenamed("doc_id", "query_id")
+    return vectors.topk(vectors.embed(table(spark, sf, "documents")), q, 3)
+
+
+def _found_texts(spark, sf, mode: str):
+    """id (as the mode's hits have it), file, text."""
+    d = table(spark, sf, "documents")
+    file = F.concat(F.lit("doc_"), F.col("doc_id").cast("string")).alias("file")
+    if mode in ("naive_chunk", "naive_vector"):
+        return _naive(spark, sf).select(F.col("doc_id").alias("id"), F.concat(F.lit("doc_"), F.expr("doc_id div 1000").cast("string")).alias("file"), "text")
+    if mode == "recursive_vector":
+        return chunking.recursive(d).select((F.col("doc_id") * 1000 + F.col("chunk_ord")).alias("id"), file, F.col("content").alias("text"))
+    if mode == "parent_document":
+        return chunking.fixed(d, 2000).select((F.col("doc_id") * 1000 + F.col("chunk_ord")).alias("id"), file, F.col("content").alias("text"))
+    return d.select(F.col("doc_id").alias("id"), file, "text")
+
+
+@query()
+def eval_modes(spark, sf):
+    """The metrics of every mode: ``MODES``, the vector mode, and hybrid search for three hits; chunks and parents count for their documents."""
+    ways = MODES | {"vector": _vector, "hybrid": lambda s, d: _hybrid(s, d, 3)}
+    results = None
+    for mode, search in ways.items():
+        hits = search(spark, sf).withColumnRenamed("parent_id" if mode == "parent_document" else "doc_id", "id").filter("rank <= 3").select("query_id", "rank", "id")
+        found = hits.join(_found_texts(spark, sf, mode), "id")
+        found = found.select(F.lit(mode).alias("mode"), "query_id", "rank", "file", F.lit(None).cast("string").alias("section"), T.token_count(F.col("text")).alias("token_count"))
+        results = found if results is None else results.unionByName(found)
+    every = table(spark, sf, "benchmark").select(F.explode(F.array(*map(F.lit, ways))).alias("mode"), F.col("item_id").alias("query_id"))
+    return evaluation.summary(evaluation.per_query(evaluation.relevant(results, _gold(spark, sf)), every))
