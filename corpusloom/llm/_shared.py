@@ -6,7 +6,7 @@ import tempfile
 import uuid
 from urllib.parse import urlparse
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, GroupedData, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -51,3 +51,8 @@ def text_bytes_of(df: DataFrame, text: str) -> int:
 
 def buckets_for(nbytes: float, each: int = 24 << 20, least: int = 8) -> int:
     return max(least, -(-int(nbytes) // each))
+
+
+def by_bucket(df: DataFrame, n_buckets: int, most: int = 20_000) -> GroupedData:
+    """Group by ``bucket``: a partition for each, up to ``most`` partitions; beyond that a partition takes its buckets one after another."""
+    return df.repartition(min(n_buckets, most), "bucket").groupBy("bucket")

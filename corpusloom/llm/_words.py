@@ -180,3 +180,14 @@ def groups_of(key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     sorted_ = key[order]
     cut = np.flatnonzero(np.concatenate([[True], sorted_[1:] != sorted_[:-1]])) if len(key) else np.empty(0, np.int64)
     return order, sorted_[cut], np.append(cut, len(key))
+
+
+def six(x: np.ndarray) -> bytes:
+    """The low six bytes of each integer."""
+    return np.ascontiguousarray(x.view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
+
+
+def unsix(b: bytes) -> np.ndarray:
+    out = np.zeros((len(b) // 6, 8), np.uint8)
+    out[:, :6] = np.frombuffer(b, np.uint8).reshape(-1, 6)
+    return out.view("<u8").ravel()

@@ -72,3 +72,16 @@ def test_connected_long_chain(spark):
 
 def test_empty(empty):
     assert N.components(empty).collect() == []
+
+
+def test_links_are_those_of_brute_force(spark, docs, rows):
+    rng = random.Random(8)
+    data = [(i, t) for i, t in enumerate([t for k in (2, 5, 30) for t in family(rng, k)] * 2)]
+    pairs, members = N.links(spark.createDataFrame(data, "doc_id long, text string"))
+    sets = [shingles(t) for _, t in data]
+    first = {frozenset(s): i for i, s in reversed(list(enumerate(sets)))}
+    assert sorted(map(tuple, members.collect())) == [(i, first[frozenset(s)]) for i, s in enumerate(sets)]
+    reps = sorted(first.values())
+    want = [(a, b) for a in reps for b in reps if a < b and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])]
+    assert sorted(map(tuple, pairs.collect())) == want
+    assert N.links(docs)[1].count() == sum(r[0] is not None and bool(shingles(r[1])) for r in rows)
