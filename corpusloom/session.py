@@ -13,6 +13,7 @@ from urllib.parse import urlparse
 from pyspark.sql import SparkSession
 
 _shipped: set[str] = set()
+BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def shared_elsewhere(spark: SparkSession) -> bool:
@@ -21,8 +22,12 @@ def shared_elsewhere(spark: SparkSession) -> bool:
 
 
 def ship(spark: SparkSession) -> SparkSession:
-    """Make this package importable by the Python workers, wherever the session came from."""
+    """Make this package importable by the Python workers, wherever the session came from.
+
+    Batches to Python are bounded by bytes, as texts are long: 4 MiB unless the session's own configuration says otherwise."""
     app = spark.sparkContext.applicationId
+    if not spark.sparkContext.getConf().contains(BATCH):
+        spark.conf.set(BATCH, "4m")
     if app not in _shipped:
         root = Path(__file__).resolve().parent
         at = urlparse(spark.sparkContext.getConf().get("spark.checkpoint.dir") or "").path if not shared_elsewhere(spark) else ""
