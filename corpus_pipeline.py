@@ -25,8 +25,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of linked documents the one with the smallest id stays."""
     ship(spark)
-    found = neardup.components(docs)
-    return docs.join(found.filter(~F.col("kept")).select("doc_id"), "doc_id", "left_anti").select(*COLUMNS)
+    return neardup.keep_first(docs).select(*COLUMNS)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

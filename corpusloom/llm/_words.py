@@ -14,6 +14,21 @@ import pyarrow as pa
 import xxhash
 
 U = np.uint64
+
+
+def _give_back() -> None:
+    """Return large arrays to the system when they are freed: idle workers then hold little beside an executor's heap (glibc only)."""
+    import contextlib
+    import ctypes
+
+    with contextlib.suppress(OSError, AttributeError):
+        libc = ctypes.CDLL("libc.so.6")
+        libc.mallopt(-3, 1 << 20)  # M_MMAP_THRESHOLD
+        libc.mallopt(-1, 8 << 20)  # M_TRIM_THRESHOLD
+        pa.set_memory_pool(pa.system_memory_pool())
+
+
+_give_back()
 _IS_WS = np.zeros(256, bool)
 _IS_WS[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 #: After lower-casing: ASCII bytes that are neither a letter nor a digit separate words; other bytes are word bytes.

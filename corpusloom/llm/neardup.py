@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame, GroupedData
+from pyspark.sql import Column, DataFrame, GroupedData
 from pyspark.sql import functions as F
 
 from ._shared import buckets_for, by_bucket, written
@@ -376,14 +376,37 @@ def _skip_merge(k: int, need: int, num: int, den: int):
     return run
 
 
+def id_filter(ids: DataFrame, id_col: str, count: int) -> tuple[Column, np.ndarray]:
+    """The slot of an id, and packed bits of the slots that ``ids`` takes: 16 bits for each of ``count`` ids, 8 MiB at most."""
+    n_bits = 1 << min(WANTED.bit_length() - 1, max(16, (16 * count).bit_length()))
+    slot = F.pmod(F.xxhash64(id_col), F.lit(n_bits)).cast("long")
+    bits = np.zeros(n_bits // 8, np.uint8)
+    for r in ids.select((slot + 1).alias("s")).groupBy(F.bitmap_bucket_number("s").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("s")).alias("bits")).collect():  # n_bits / 8 bytes in all
+        part = np.frombuffer(r["bits"], np.uint8)
+        bits[(r["k"] - 1) * len(part) : r["k"] * len(part)] = part
+    return slot, bits
+
+
+def _is_in(bits: np.ndarray, slot: np.ndarray) -> np.ndarray:
+    return (bits[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1 > 0
+
+
+def _by_filter(shared, at: int, there: bool):
+    def run(batches):
+        for b in batches:
+            hit = _is_in(shared.value, b.column(at).fill_null(0).to_numpy()) & np.asarray(b.column(at).is_valid())
+            yield b.filter(pa.array(hit == there))
+
+    return run
+
+
 def _squeeze(wanted):
     """Rows whose id the filter knows, their texts compressed."""
 
     def run(batches):
         bits, press = wanted.value, zstandard.ZstdCompressor(level=3)
         for b in batches:
-            s = b.column(3).to_numpy()
-            b = b.filter(pa.array((bits[s >> 3] >> (s & 7).astype(np.uint8)) & 1 > 0))
+            b = b.filter(pa.array(_is_in(bits, b.column(3).to_numpy())))
             for x in slices(iter([b]), 1, 4 << 20):
                 yield pa.RecordBatch.from_arrays([x.column(0), x.column(2), pa.array([press.compress(t.as_buffer()) for t in x.column(1)], pa.binary())], names=["doc_id", "th", "z"])
 
@@ -446,12 +469,7 @@ def _confirm(pairs: DataFrame, nodes: DataFrame, src: DataFrame, width: int, k:
     at = F.pmod(F.xxhash64(F.when(F.struct("pa", "a") < F.struct("pb", "b"), F.col("a")).otherwise(F.col("b"))), F.lit(n_buckets)).cast("int").alias("bucket")
     routed = written(pairs.join(degree("a"), "a").join(degree("b"), "b").select(at, "a", "b"), "routed")
     goes = routed.select("bucket", F.col("a").alias("cls")).unionByName(routed.select("bucket", F.col("b").alias("cls"))).distinct().join(ends.select("cls", "doc_id", "th"), "cls")
-    n_bits = 1 << min(WANTED.bit_length() - 1, max(16, (16 * total["c"]).bit_length()))
-    slot = F.pmod(F.xxhash64("doc_id"), F.lit(n_bits)).cast("long")
-    bits = np.zeros(n_bits // 8, np.uint8)
-    for r in ends.select((slot + 1).alias("s")).groupBy(F.bitmap_bucket_number("s").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("s")).alias("bits")).collect():  # n_bits / 8 bytes in all
-        part = np.frombuffer(r["bits"], np.uint8)
-        bits[(r["k"] - 1) * len(part) : r["k"] * len(part)] = part
+    slot, bits = id_filter(ends, "doc_id", total["c"])
     texts = src.filter("doc_id is not null").select("doc_id", "text", "th", slot.alias("s")).mapInArrow(_squeeze(spark.sparkContext.broadcast(bits)), "doc_id long, th long, z binary")
     texts = texts.groupBy("doc_id", "th").agg(F.any_value("z").alias("z")).join(goes, ["doc_id", "th"])
     null = lambda kind: F.lit(None).cast(kind)
@@ -552,6 +570,24 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
+def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
+    """The rows that ``components`` keeps, with all their columns.
+
+    Rows whose id a bounded filter doesn't know stay where they stand; only the rest, the dropped rows and a few others, meets the
+    dropped ids in a join.  Null ids stay; of an empty table nothing comes back."""
+    spark = docs.sparkSession
+    gone = written(components(docs, id_col, text_col, **how).filter(~F.col("kept")).select(F.col("doc_id").alias("__gone")).distinct(), "gone")
+    slot, bits = id_filter(gone, "__gone", gone.count())
+    shared = spark.sparkContext.broadcast(bits)
+    own = F.col(f"`{id_col}`").cast("long")
+    order = [F.col(f"`{c}`") for c in docs.columns]
+    marked = docs.select(*order, F.when(own.isNotNull(), F.pmod(F.xxhash64(own), F.lit(8 * len(bits)))).cast("long").alias("__slot"))
+    at = len(docs.columns)
+    clear = marked.mapInArrow(_by_filter(shared, at, False), marked.schema)
+    doubtful = marked.mapInArrow(_by_filter(shared, at, True), marked.schema).join(gone, own == F.col("__gone"), "left_anti")
+    return clear.unionByName(doubtful).select(*order)
+
+
 def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75, width: int = 2, k: int = 64, hot: int = 207) -> tuple[DataFrame, DataFrame]:
     """Every link between different texts, and which texts there are: (class_a, class_b), (doc_id, class_id).
 

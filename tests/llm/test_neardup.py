@@ -85,3 +85,10 @@ def test_links_are_those_of_brute_force(spark, docs, rows):
     want = [(a, b) for a in reps for b in reps if a < b and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])]
     assert sorted(map(tuple, pairs.collect())) == want
     assert N.links(docs)[1].count() == sum(r[0] is not None and bool(shingles(r[1])) for r in rows)
+
+
+def test_kept_rows_stay_whole(docs, rows, empty):
+    want = sorted((r[:5] for r, k in zip(rows, brute([(r[0], r[1]) for r in rows])) if k[3]), key=str)
+    got = N.keep_first(docs)
+    assert got.columns == docs.columns and sorted((tuple(r)[:5] for r in got.collect()), key=str) == want
+    assert N.keep_first(empty).collect() == []
