@@ -22,63 +22,77 @@ def _text_words(col: pa.Array) -> Words:
     return Words(pc.utf8_lower(col.cast(pa.string())), lower=True, punctuation=True)
 
 
-def index_items(rows: list[tuple[int, str]], k: int, threshold: float) -> dict[int, tuple]:
-    """Sketches of test items by size partition.
+def _hashes(h: np.ndarray, k: int) -> np.ndarray:
+    return mix(rolling(h, k), 99)
+
+
+def index_items(texts: list[str], k: int, threshold: float) -> list[tuple[int, int, np.ndarray, np.ndarray]]:
+    """Sketches of test items by size partition: (shingle length, power of two, sorted sketch hashes, their items).
 
     Partition: shingle length (``k``, or an item's own length where it has fewer words) and power of two of the shingle count.
     An item of n shingles, of which at least threshold * n must be in a document, may miss at most m = n - ceil(threshold * n);
     its m + 1 smallest hashes (a bottom-(m+1) MinHash sketch) can't all be missing, so the search overlooks nothing.
-    The sketch length of a partition's largest item holds for the partition.
-    Returns shingle length -> (sorted sketch hashes, their items, {item: (n, exact shingles)})."""
-    out: dict[int, tuple] = {}
-    w = _text_words(pa.array([t for _, t in rows], pa.string()))
-    by_part: dict[tuple[int, int], list[tuple[int, set[bytes]]]] = {}
-    for r, (item, _) in enumerate(rows):
-        n = int(w.counts[r])
-        if n:
-            own = min(k, n)
-            sh = _shingles(w, r, own)
-            by_part.setdefault((own, len(sh).bit_length()), []).append((item, sh))
-    for (own, _), items in sorted(by_part.items()):
-        most = max(len(s) for _, s in items)
-        size = most - int(np.ceil(threshold * most - 1e-9)) + 1
-        keys, owner, exact = out.get(own, (np.empty(0, np.uint64), np.empty(0, np.int64), {}))
-        for item, sh in items:
-            text = pa.array([s.decode() for s in sorted(sh)])
-            h = np.sort(mix(rolling(Words(text).hashes(), own)[::own].copy(), 99))[:size] if len(sh) else keys[:0]
-            keys, owner = np.concatenate([keys, h]), np.concatenate([owner, np.full(len(h), item)])
-            exact[item] = (len(sh), sh)
-        order = np.argsort(keys, kind="stable")
-        out[own] = (keys[order], owner[order], exact)
+    The sketch length of a partition's largest item holds for the partition."""
+    w = _text_words(pa.array(texts, pa.string()))
+    h, out = w.hashes(), []
+    for own in range(1, k + 1):
+        s = _hashes(h, own)
+        rows = (w.counts >= k) if own == k else (w.counts == own)
+        ok = starts_of_windows(w.first, own, len(w))
+        at = np.flatnonzero(ok & rows[w.row[: len(ok)]]) if len(ok) else np.empty(0, np.int64)
+        row, s = w.row[at], s[at]
+        order = np.lexsort((s, row))
+        row, s = row[order], s[order]
+        new = np.concatenate([[True], (row[1:] != row[:-1]) | (s[1:] != s[:-1])]) if len(row) else np.empty(0, bool)
+        row, s = row[new], s[new]
+        n = np.bincount(row, minlength=len(texts))
+        first = np.concatenate([[0], np.cumsum(n)[:-1]])
+        part = np.array([int(x).bit_length() for x in n])
+        for p in np.unique(part[n > 0]):
+            most = int(n[part == p].max())
+            size = most - int(np.ceil(threshold * most - 1e-9)) + 1
+            mine = (part[row] == p) & (np.arange(len(row)) - first[row] < size)
+            o = np.argsort(s[mine], kind="stable")
+            out.append((own, int(p), s[mine][o], row[mine][o].astype(np.int64)))
     return out
 
 
-def _search(index: dict[int, tuple], threshold: float):
+def _search(shared, k: int, threshold: float):
     def run(batches):
+        ids, texts, parts = shared.value
         bits = {}
-        for own, (keys, _, _) in index.items():
-            bits[own] = np.zeros(1 << 22, bool)
-            bits[own][(keys >> np.uint64(42)).astype(np.int64)] = True
+        for own, _, keys, _ in parts:
+            mask = bits.setdefault(own, np.zeros(1 << 22, bool))
+            mask[(keys >> np.uint64(42)).astype(np.int64)] = True
+        exact: dict[int, set[bytes]] = {}  # items that were candidates lately
         for b in slices(batches, 1, 2 << 20, 4096):
             w = _text_words(b.column(1))
             h = w.hashes()
-            row, out = w.row, []
-            for own, (keys, owner, exact) in index.items():
-                s = mix(rolling(h, own), 99)
-                at = np.flatnonzero(bits[own][(s >> np.uint64(42)).astype(np.int64)])
+            row = w.row
+            best: dict[tuple[int, int], tuple[float, int, int]] = {}
+            for own, mask in bits.items():
+                s = _hashes(h, own)
+                at = np.flatnonzero(mask[(s >> np.uint64(42)).astype(np.int64)])
                 if not len(at):
                     continue
                 at = at[starts_of_windows(w.first, own, len(w))[at]]
-                lo, hi = np.searchsorted(keys, s[at], "left"), np.searchsorted(keys, s[at], "right")
-                pairs = {(int(row[i]), int(owner[j])) for i, x, y in zip(at, lo, hi) for j in range(x, y)}
+                pairs = set()
+                for _, _, keys, owner in (p for p in parts if p[0] == own):
+                    lo, hi = np.searchsorted(keys, s[at], "left"), np.searchsorted(keys, s[at], "right")
+                    pairs.update((int(row[at[i]]), int(owner[j])) for i in np.flatnonzero(hi > lo) for j in range(lo[i], hi[i]))
                 have: dict[int, set[bytes]] = {}
                 for r, item in sorted(pairs):
                     if r not in have:
-                        have[r] = _shingles(w, r, own)
-                    n, sh = exact[item]
-                    hit = len(sh & have[r])
+                        have = {r: _shingles(w, r, own)}
+                    if item not in exact:
+                        if len(exact) > 4096:
+                            exact.clear()
+                        exact[item] = _shingles(_text_words(pa.array([texts[item]])), 0, own)
+                    n, hit = len(exact[item]), len(exact[item] & have[r])
                     if hit >= threshold * n - 1e-9:
-                        out.append((b.column(0)[r].as_py(), item, n, hit, hit / n))
+                        pair = r, int(ids[item])
+                        best[pair] = max(best.get(pair, (0.0, 0, 0)), (hit / n, n, hit))
+            out = [(b.column(0)[r].as_py(), item, n, hit, c) for (r, item), (c, n, hit) in best.items()]
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(),) * 4 + (pa.float64(),))], names=[x.split()[0] for x in _OUT.split(", ")])
 
@@ -91,34 +105,30 @@ def find(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: st
     Words are runs of letters and digits of the lower-cased text (ASCII marks and white space separate; other characters are
     word characters).  An item with fewer than k words is one shingle.  Items without words, null items and null documents match
     nothing.  Repeated documents are answered each; item texts that repeat under one id count once, and of different texts under
-    one id each is searched and the best containment is reported.
+    one id each is searched and the best containment is reported.  Empty tables give nothing; other columns aren't looked at.
 
-    The items are the stated query set.  They are taken in blocks of at most ``block_chars`` characters, so what a worker gets is
-    bounded; every block is searched in all documents, whole, in one pass without a shuffle."""
+    The items are the stated query set.  They are taken in blocks of at most ``block_chars`` characters (the texts of one id, if
+    longer, are a block of their own), so what is broadcast is bounded: a block's texts, and 16 bytes for each hash of its sketches.  A
+    document's distinct shingles are searched for the sketches of each size partition; every block is searched in all
+    documents, whole, in one pass without a shuffle."""
+    spark = docs.sparkSession
     src = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     q = items.select(F.col(f"`{item_id}`").cast("long").alias("i"), F.col(f"`{item_text}`").cast("string").alias("t")).filter("i is not null and t is not null").distinct()
     found, block, size = None, [], 0
 
     def search(block: list[tuple[int, str]]) -> DataFrame:
-        ids = {n: i for n, (i, _) in enumerate(block)}
-        hits = src.mapInArrow(_search(index_items([(n, t) for n, (_, t) in enumerate(block)], k, threshold), threshold), _OUT)
-        if len(set(ids.values())) == len(ids) and all(n == i for n, i in ids.items()):
-            return hits
-        names = F.create_map(*[F.lit(x) for n, i in ids.items() for x in (n, i)])
-        return hits.withColumn("item_id", names[F.col("item_id").cast("int")].cast("long"))
+        texts = [t for _, t in block]
+        shared = spark.sparkContext.broadcast((np.array([i for i, _ in block], np.int64), texts, index_items(texts, k, threshold)))
+        return src.mapInArrow(_search(shared, k, threshold), _OUT)
 
     for r in q.orderBy("i", "t").toLocalIterator():  # a block at a time, never all items
-        if block and size + len(r["t"]) > block_chars:
+        if block and size + len(r["t"]) > block_chars and r["i"] != block[-1][0]:
             part = search(block)
             found, block, size = part if found is None else found.unionByName(part), [], 0
         block.append((r["i"], r["t"]))
         size += len(r["t"])
     part = search(block)
-    found = part if found is None else found.unionByName(part)
-    if len(block) and q.groupBy("i").count().filter("count > 1").limit(1).count():
-        best = F.max_by(F.struct("n_shingles", "n_matched", "containment"), F.struct("containment", "n_shingles")).alias("b")
-        found = found.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "b.*")
-    return found
+    return part if found is None else found.unionByName(part)
 
 
 ORACLE = r"""WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents WHERE text IS NOT NULL),
