@@ -2,32 +2,70 @@
 
 from __future__ import annotations
 
-import gzip
-import io
+import re
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ._shared import written
 
 FANOUT = 16
-_REC = "archive string, ord long, uri string, offset long, length long, payload binary"
+_REC = "archive string, ord long, uri string, offset long, length long, payload binary, damaged boolean"
+_START = re.compile(rb"WARC/\d+\.\d+\r?\n")
 
 
-def parse(data: bytes) -> Iterator[tuple[int, int, str, bytes]]:
-    """(offset, length, target URI, body) of each record of an uncompressed or per-record gzipped WARC file."""
+def _unzip(data: bytes) -> tuple[bytes, bool]:
+    """Bytes of all gzip members, as far as each goes; was any of them broken?  After a broken one the next header is looked for."""
+    out, at, broken = [], 0, False
+    while at < len(data):
+        z = zlib.decompressobj(31)
+        try:
+            while at < len(data) and not z.eof:
+                piece = data[at : at + (1 << 16)]
+                out.append(z.decompress(piece))
+                at += len(piece) - len(z.unused_data)
+            broken |= not z.eof
+        except zlib.error:
+            broken = True
+            nxt = data.find(b"\x1f\x8b\x08", at + 1)
+            at = len(data) if nxt < 0 else nxt
+    return b"".join(out), broken
+
+
+def parse(data: bytes) -> Iterator[tuple[int, int, str, bytes, bool]]:
+    """(offset, length, target URI, body, damaged) of each record of an uncompressed or per-record gzipped WARC file.
+
+    A record that is cut, has no readable length or doesn't end in two line ends is damaged: its body is what stands between
+    it and the next record's first line (or the file's end), and reading goes on there.  Bytes before the first record, between records and
+    in broken gzip members are damaged records too, with an empty URI.  An empty file has no record."""
+    broken = False
     if data[:2] == b"\x1f\x8b":
-        data = gzip.GzipFile(fileobj=io.BytesIO(data)).read()
+        data, broken = _unzip(data)
+        if broken and not data:
+            yield 0, 0, "", b"", True
     at = 0
     while at < len(data):
-        head_end = data.index(b"\r\n\r\n", at) + 4
+        nxt = _START.search(data, at + 1)
+        stop = nxt.start() if nxt else len(data)
+        head_end = data.find(b"\r\n\r\n", at) + 4
+        if not _START.match(data, at) or head_end < 4:
+            yield at, stop - at, "", data[at:stop], True
+            at = stop
+            continue
         head = {k.strip().lower(): v.strip() for k, _, v in (x.partition(b":") for x in data[at:head_end].split(b"\r\n")[1:] if x)}
-        size = int(head[b"content-length"])
-        end = head_end + size + 4
-        yield at, end - at, head.get(b"warc-target-uri", b"").decode(), data[head_end : head_end + size]
-        at = end
+        uri = head.get(b"warc-target-uri", b"").decode(errors="replace")
+        size = head.get(b"content-length", b"")
+        end = head_end + int(size) + 4 if size.isdigit() and len(size) < 19 else -1
+        if 0 <= end <= len(data) and data[end - 4 : end] == b"\r\n\r\n":
+            yield at, end - at, uri, data[head_end : end - 4], False
+            at = end
+        else:
+            yield at, stop - at, uri, data[head_end:stop], True
+            at = stop
 
 
 def record(uri: str, body: bytes, kind: str = "resource") -> bytes:
@@ -35,24 +73,51 @@ def record(uri: str, body: bytes, kind: str = "resource") -> bytes:
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
-    """Records of WARC files, a file in one task: archive (file name), ord, uri, offset, length, payload."""
+    """Records of WARC files, a file in one task: archive (file name), ord, uri, offset, length, payload, damaged.
+
+    Damaged files give what can be read of them (``parse``); an empty file gives nothing, and so does a folder without files."""
 
     def run(batches):
         for b in batches:
             for name, data in zip(b.column(0).to_pylist(), b.column(1)):
-                out = [(name.rsplit("/", 1)[-1], i, u, o, n, body) for i, (o, n, u, body) in enumerate(parse(data.as_py()))]
-                if out:
-                    kinds = (pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.binary())
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names=[x.split()[0] for x in _REC.split(", ")])
+                rows, size = [], 0
+                for i, (o, n, u, body, hurt) in enumerate(parse(data.as_py())):
+                    rows.append((name.rsplit("/", 1)[-1], i, u, o, n, body, hurt))
+                    size += len(body)
+                    if size > 4 << 20:
+                        yield _batch(rows)
+                        rows, size = [], 0
+                if rows:
+                    yield _batch(rows)
 
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, _REC)
 
 
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = (pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.binary(), pa.bool_())
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=[x.split()[0] for x in _REC.split(", ")])
+
+
+def aligned(base: DataFrame, copy: DataFrame, by: str = "uri") -> DataFrame:
+    """``copy`` with the positions (ord, offset) that its records have in ``base``, so that a lost record shifts nothing.
+
+    Records correspond that have the same archive and ``by`` and stand at the same place among those that share them (in order of
+    ord).  Records of the copy that the base lacks come after the base's last position of their archive.  A null or empty ``by`` is a value like
+    any other; records of one that stands often in an archive (damaged ones, say) are matched in their order."""
+    key = ["archive", by]
+    flat = lambda df: df.withColumn("archive", F.coalesce(F.col("archive").cast("string"), F.lit(""))).withColumn(by, F.coalesce(F.col(by).cast("string"), F.lit(""))).withColumn("__nth", F.row_number().over(W.partitionBy(*key).orderBy("ord", "offset")))
+    mine = flat(base).select(*key, "__nth", F.col("ord").alias("__ord"), F.col("offset").alias("__offset"))
+    met = flat(copy).join(mine, [*key, "__nth"], "left")
+    ends = flat(base).groupBy("archive").agg((F.max("ord") + 1).alias("__end"))
+    extra = F.coalesce("__end", F.lit(0)) + F.col("ord")
+    return met.join(ends, "archive", "left").select(*[F.coalesce("__ord", extra).alias("ord") if c == "ord" else F.coalesce("__offset", "offset").alias("offset") if c == "offset" else F.col(f"`{c}`") for c in copy.columns])
+
+
 def leaves(records: DataFrame) -> DataFrame:
     """One leaf for each (archive, ord): its hash covers the payload's digest, its length and how often it stands there.
 
     records: archive, ord, offset, length, payload.  A null archive is '', a null ord -1, a null payload hashes as such.
-    Records that share archive and ord make one leaf whose hash doesn't depend on their order."""
+    Records that share archive and ord make one leaf whose hash doesn't depend on their order; other columns aren't looked at."""
     r = records.select(
         F.coalesce(F.col("archive").cast("string"), F.lit("")).alias("archive"), F.coalesce(F.col("ord").cast("long"), F.lit(-1)).alias("node"), F.col("offset").cast("long").alias("offset"), F.col("length").cast("long").alias("length"),
         F.coalesce(F.sha2(F.col("payload").cast("binary"), 256), F.lit("null")).alias("digest"),
@@ -83,7 +148,9 @@ def audit(replica_a: DataFrame, replica_b: DataFrame, fanout: int = FANOUT) -> D
 
     status: ``corrupt``, ``missing`` (not in b) or ``extra`` (not in a); checked: nodes compared along the descent, for all rows
     alike.  Roots are compared first; each level down only children of mismatching nodes are joined, so that equal
-    branches cost nothing below the node where they agree.  Empty replicas have no nodes; everything is then missing or extra."""
+    branches cost nothing below the node where they agree.  Empty replicas have no nodes; everything is then missing or extra.
+    Nulls and repeated records are as in ``leaves``.  Records are compared by (archive, ord); a replica that lost records and was
+    numbered anew is put in the base's order by ``aligned`` first."""
     a, b = tree(replica_a, fanout), tree(replica_b, fanout)
     while len(a) != len(b):  # the shallower tree's roots are lifted
         low = a if len(a) < len(b) else b

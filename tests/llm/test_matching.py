@@ -1,4 +1,5 @@
 import gzip
+import re
 
 from corpusloom.llm import decontam as D
 from corpusloom.llm import licenses as C
@@ -20,6 +21,45 @@ def test_items_in_long_documents(spark, docs, empty):
     assert D.find(docs, items).count() == 0
 
 
+def spread(items, docs, k=5, threshold=0.7):
+    """Brute force: (doc, item, shingles, matched), the best text of an item."""
+    cut = lambda t: re.findall(r"[a-z0-9\u0080-\U0010ffff]+", (t or "").lower())
+    out = []
+    for d, t in docs:
+        best = {}
+        for i, x in items:
+            w = cut(x)
+            own = min(k, len(w))
+            if not own or i is None or t is None:
+                continue
+            sh = {tuple(w[p : p + own]) for p in range(len(w) - own + 1)}
+            dw = cut(t)
+            hit = len(sh & {tuple(dw[p : p + own]) for p in range(len(dw) - own + 1)})
+            if hit >= threshold * len(sh) - 1e-9:
+                best[i] = max(best.get(i, (0, 0, 0)), (hit / len(sh), len(sh), hit))
+        out += [(d, i, n, h) for i, (_, n, h) in best.items()]
+    return sorted(out, key=str)
+
+
+def test_items_with_sparse_ids_and_several_texts(spark, docs, rows):
+    words = (rows[10][1] or "").split()
+    items = [(1_000_000 + 7 * i, " ".join(words[i : i + 12])) for i in range(250)] + [(-5, "one two"), (-5, " ".join(words[5:60])), (-5, "not there at all"), (1 << 60, "one")]
+    long_ = [(900, " ".join(f"v{i}" for i in range(200_000)) + " " + items[3][1])]
+    long_ += [(901, items[3][1])] * 2
+    want = spread(items, [(r[0], r[1]) for r in rows] + long_)
+    df = docs.select("doc_id", "text", "n", "key", "label").unionByName(spark.createDataFrame(long_, "doc_id long, text string"), allowMissingColumns=True)
+    for block in (8 << 20, 5000):
+        got = D.find(df, spark.createDataFrame(items, "item_id long, text string"), block_chars=block)
+        assert sorted(((r.doc_id, r.item_id, r.n_shingles, r.n_matched) for r in got.collect()), key=str) == want
+    assert len(want) > 500 and (900, items[3][0], 8, 8) in want
+
+
+def test_an_index_of_many_items():
+    texts = [" ".join(f"w{i * 5 + j}" for j in range(12)) for i in range(100_000)]
+    parts = D.index_items(texts, 5, 0.7)
+    assert [(own, p, len(keys)) for own, p, keys, _ in parts] == [(5, 4, 300_000)]
+
+
 def test_licences(spark, docs, empty):
     known = C.known_digests(spark)
     mit = C.KNOWN["MIT"]
@@ -62,3 +102,47 @@ def test_files(spark, tmp_path):
     assert sorted((r.archive, r.ord, bytes(r.payload)) for r in got) == sorted((a, i, f"body {i}\r\n\r\n".encode()) for a in ("a.warc", "b.warc.gz") for i in range(5))
     (tmp_path / "c.warc").write_bytes(b"")
     assert A.read(spark, str(tmp_path / "c.warc")).count() == 0
+
+
+def test_damaged_files_give_what_can_be_read(spark, tmp_path):
+    parts = [A.record(f"http://x/{i}", f"body {i}".encode() * 9) for i in range(6)]
+    whole = b"".join(parts)
+    good = [(u, bytes(b), h) for _, _, u, b, h in A.parse(whole)]
+    assert len(good) == 6 and not any(h for *_, h in good)
+    cut = list(A.parse(whole[: len(whole) - 30]))
+    assert [x[4] for x in cut] == [False] * 5 + [True] and cut[-1][2] == "http://x/5"
+    no_length = list(A.parse(parts[0] + parts[1].replace(b"Content-Length", b"Content-Lengty") + parts[2]))
+    assert [(x[2], x[4]) for x in no_length] == [("http://x/0", False), ("http://x/1", True), ("http://x/2", False)]
+    garbled = list(A.parse(b"junk" + parts[0] + b"\x00\xff junk" + parts[1][:20]))
+    assert [x[4] for x in garbled] == [True, False, True, True]
+    assert sum(x[1] for x in garbled) == len(b"junk" + parts[0] + b"\x00\xff junk" + parts[1][:20])
+    zipped = [gzip.compress(p) for p in parts]
+    hurt = zipped[0] + zipped[1][:12] + b"\x00\x00\x00" + zipped[1][15:] + zipped[2]
+    assert {x[2] for x in A.parse(hurt) if not x[4]} >= {"http://x/0", "http://x/2"}
+    assert [x[4] for x in A.parse(zipped[0][:15])][-1:] == [True] and list(A.parse(b"")) == []
+    assert [x[2:] for x in A.parse(b"".join(zipped))] == [(u, b, False) for u, b, _ in good]
+    (tmp_path / "a.warc").write_bytes(whole[:-30])
+    (tmp_path / "b.warc.gz").write_bytes(hurt)
+    (tmp_path / "c.warc").write_bytes(A.record("http://x/long", b"x" * (9 << 20)) + parts[0])
+    got = A.read(spark, str(tmp_path)).collect()
+    assert {r.archive for r in got} == {"a.warc", "b.warc.gz", "c.warc"} and sum(r.damaged for r in got if r.archive == "a.warc") == 1
+    assert [len(r.payload) for r in got if r.archive == "c.warc"] == [9 << 20, 54]
+
+
+def test_a_lost_record_shifts_nothing(spark, tmp_path):
+    for side, kept in (("a", range(20)), ("b", [i for i in range(20) if i != 7])):
+        (tmp_path / side).mkdir()
+        (tmp_path / side / "x.warc").write_bytes(b"".join(A.record(f"http://x/{i % 18}", f"body {i}".encode()) for i in kept) + (A.record("http://new", b"n") if side == "b" else b""))
+    a, b = A.read(spark, str(tmp_path / "a")), A.read(spark, str(tmp_path / "b"))
+    got = A.audit(a, A.aligned(a, b)).collect()
+    assert sorted((r.ord, r.status) for r in got) == [(7, "missing"), (39, "extra")]
+    assert A.audit(a, A.aligned(a, b.limit(0))).count() == 20 and A.aligned(a.limit(0), b).count() == 20
+
+
+def test_audit_looks_at_its_own_columns_only(spark):
+    rows = [("a", i, i, 1, b"x" * (1 << 22) if i == 3 else bytes([i])) for i in range(40)]
+    df = records(spark, rows)
+    for c in ("node", "hash", "digest", "up", "stop", "n", "x", "kids", "differ"):
+        df = df.selectExpr("*", f"cast(rand() as string) AS {c}")
+    assert A.audit(df, df).count() == 0
+    assert [(r.ord, r.status) for r in A.audit(df, df.filter("ord <> 3")).collect()] == [(3, "missing")]
