@@ -13,12 +13,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import buckets_for, local_path, text_bytes_of
+from ._shared import buckets_for, by_bucket, local_path, text_bytes_of
 from ._words import Words, from_planes, groups_of, mix, per_row, planes, slices
 
 U = np.uint64
 BEGIN, END = U(0xB36120D5E8F1C3A7), U(0xE4D0A9C15B72F683)
-_SALTS = U(15)
 _MSG = pa.schema([("bucket", pa.int32()), ("kind", pa.int8()), ("a", pa.binary()), ("b", pa.binary()), ("c", pa.binary()), ("d", pa.binary())])
 _DDL = "bucket int, kind tinyint, a binary, b binary, c binary, d binary"
 _OUT = "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double"
@@ -37,7 +36,8 @@ class Model:
     d2: tuple = (0.5, 1.0, 1.5)
     d1: tuple = (0.5, 1.0, 1.5)
     cont_stats: tuple = (0, 0, 0)
-    crowded: np.ndarray = field(default_factory=lambda: np.empty(0, U))
+    crowded: np.ndarray = field(default_factory=lambda: np.empty((0, 2), U))  #: contexts and the salts of each, less one
+    saved: frozenset = frozenset()  #: folders that the workers must find
     crowded_stats: np.ndarray = field(default_factory=lambda: np.empty((0, 4), np.int64))
 
 
@@ -78,11 +78,12 @@ def _shard(key: np.ndarray, n: int) -> np.ndarray:
 
 
 def _spread(context: np.ndarray, word: np.ndarray, crowded: np.ndarray) -> np.ndarray:
-    """What a pair is sharded by: its context, and for crowded contexts its word too."""
+    """What a pair is sharded by: its context, and for crowded contexts its word too, in as many parts as the context has salts."""
     key = context.copy()
     if len(crowded):
-        at = np.flatnonzero(crowded[np.minimum(np.searchsorted(crowded, context), len(crowded) - 1)] == context)
-        key[at] = mix(context[at] + (word[at] & _SALTS) + U(1), 13)
+        where = np.minimum(np.searchsorted(crowded[:, 0], context), len(crowded) - 1)
+        at = np.flatnonzero(crowded[where, 0] == context)
+        key[at] = mix(context[at] + (word[at] & crowded[where[at], 1]) + U(1), 13)
     return key
 
 
@@ -98,11 +99,15 @@ def _frequent(share: int):
 
 
 def _crowded(src: DataFrame, shards: int) -> np.ndarray:
-    """Contexts that may fill a fourth of a shard; at most some multiples of the number of shards."""
+    """Contexts that may fill a fourth of a shard, at most some multiples of the number of shards; and the salts of each, less one: a power of
+    two that follows the context's share, so that a part of it fills an eighth of a shard at most."""
     share = 8 * shards
     rows = src.mapInArrow(_frequent(share), "c long, n long, of long").groupBy("c").agg(F.sum("n").alias("n"))
     total = rows.agg(F.sum("n")).first()[0] or 0
-    return np.sort(np.array([r["c"] for r in rows.filter(F.col("n") * (4 * shards) > total).collect()], np.int64).view(U))
+    found = rows.filter(F.col("n") * (4 * shards) > total).collect()
+    c = np.array([r["c"] for r in found], np.int64).view(U)
+    salts = np.array([(1 << max(4, (8 * shards * r["n"] // total).bit_length())) - 1 for r in found], U)
+    return np.stack([c, salts], axis=1)[np.argsort(c)] if len(c) else np.empty((0, 2), U)
 
 
 def _count(shards: int, crowded: np.ndarray):
@@ -170,7 +175,7 @@ def _pairs(path: str, shards: int, crowded: np.ndarray):
         cut = np.flatnonzero(np.concatenate([[True], context[1:] != context[:-1]]))
         sums = np.stack([np.add.reduceat(x.astype(np.int64), cut) for x in (n, n == 1, n == 2, n > 2)], axis=1)
         own = context[cut]
-        much = np.isin(own, crowded)
+        much = np.isin(own, crowded[:, 0])
         key = mix(context ^ (word * U(0xD1B54A32D192ED03)), 17)
         order = np.argsort(key)
         key, n = key[order], n[order]
@@ -178,7 +183,7 @@ def _pairs(path: str, shards: int, crowded: np.ndarray):
         _save(os.path.join(path, f"pairs-{s}"), key=key, count=np.minimum(n, 255).astype(np.uint8), big_at=big, big=n[big])
         _save(os.path.join(path, f"contexts-{s}"), key=own[~much], sums=sums[~much].astype("<u4"))
         totals = np.array([*counts, int((~much).sum()), len(n)], np.int64)
-        rows = [(0, 2, own[much].tobytes(), sums[much].tobytes(), totals.tobytes(), b"")]
+        rows = [(s % shards, 2, own[much].tobytes(), sums[much].tobytes(), totals.tobytes(), str(s).encode())]
         w, c = np.unique(word, return_counts=True)
         order, which, bound = groups_of(_shard(mix(w, 4), shards).astype(np.int64))
         for k, x, y in zip(which, bound, bound[1:]):
@@ -206,7 +211,7 @@ def _words(path: str):
             w, c = w[new], np.add.reduceat(c, new)
             _save(os.path.join(path, f"words-{s}"), key=w, count=c.astype("<u4"))
             sums = [*np.bincount(np.minimum(c, 5), minlength=6)[1:5], int((c > 2).sum()), len(c), int(c.sum())]
-            rows.append((s, 3, np.array(sums, np.int64).tobytes(), b"", b"", b""))
+            rows.append((s, 3, np.array(sums, np.int64).tobytes(), b"", b"", str(s).encode()))
         return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _MSG)], schema=_MSG)
 
     return run
@@ -217,19 +222,21 @@ def train(docs: DataFrame, text_col: str = "text", shard_bytes: int = 24 << 20)
 
     Plan: a slice's distinct pairs go to the shard of their context, six bytes a word; contexts that would crowd a shard are
     spread by word too.  A shard sorts its pairs and writes them with its context sums; continuation counts, summed there, go to
-    the shards of their words.  The driver gets a few sums per shard.  Files are replaced whole, so a task may run twice."""
+    the shards of their words.  The driver gets a few sums per shard.  Files are replaced whole, so a task may run twice.  No rows
+    give a model of nothing; repeated rows count each; ``shard_bytes`` decides no count, only how many shards there are."""
     spark = docs.sparkSession
     src = docs.select(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"))
     shards = buckets_for(text_bytes_of(src, "text"), shard_bytes)
     path = local_path(spark, "kneser-ney")
     crowded = _crowded(src, shards)
-    counted = src.mapInArrow(_count(shards, crowded), _DDL).repartition(shards, "bucket").groupBy("bucket").applyInArrow(_pairs(path, shards, crowded), _DDL)
-    rows = counted.repartition(shards, "bucket").groupBy("bucket").applyInArrow(_words(path), _DDL).collect()
+    counted = by_bucket(src.mapInArrow(_count(shards, crowded), _DDL), shards).applyInArrow(_pairs(path, shards, crowded), _DDL)
+    rows = by_bucket(counted, shards).applyInArrow(_words(path), _DDL).collect()
     m = Model(path, shards, crowded=crowded, crowded_stats=np.zeros((len(crowded), 4), np.int64))
     n2, n1, own, over2 = np.zeros(4, np.int64), np.zeros(4, np.int64), 0, 0
+    m.saved = frozenset(f"{what}-{r['d'].decode()}" for r in rows for what in (("pairs", "contexts") if r["kind"] == 2 else ("words",)))
     for r in rows:
         if r["kind"] == 2:
-            at = np.searchsorted(crowded, np.frombuffer(r["a"], U))
+            at = np.searchsorted(crowded[:, 0], np.frombuffer(r["a"], U))
             np.add.at(m.crowded_stats, at, np.frombuffer(r["b"], np.int64).reshape(-1, 4))
             x = np.frombuffer(r["c"], np.int64)
             n2, own, m.pairs = n2 + x[:4], own + int(x[4]), m.pairs + int(x[5])
@@ -261,7 +268,7 @@ class _Arrays:
         key = folder, name
         if key not in self.maps:
             at = os.path.join(self.m.path, folder, name)
-            there = os.path.exists(at) and os.path.getsize(at)
+            there = folder in self.m.saved and os.path.getsize(at)  # raises where the folder isn't mounted or a shard is lost
             self.maps[key] = np.memmap(at, kind, "r") if there else np.empty(0, kind)
         return self.maps[key]
 
@@ -281,8 +288,8 @@ class _Arrays:
             if hit.any():
                 out[edge[s] : edge[s + 1]][hit] = self._map(f"contexts-{s}", "sums", "<u4").reshape(-1, 4)[at[hit]]
         if len(self.m.crowded):
-            at = np.minimum(np.searchsorted(self.m.crowded, c), len(self.m.crowded) - 1)
-            hit = self.m.crowded[at] == c
+            at = np.minimum(np.searchsorted(self.m.crowded[:, 0], c), len(self.m.crowded) - 1)
+            hit = self.m.crowded[at, 0] == c
             out[hit] = self.m.crowded_stats[at[hit]]
         return out
 
@@ -352,7 +359,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     """doc_id, n_tokens (words and one end), n_known, train_tokens, base_score, score (log10 probability of the whole text).
 
     base_score is that of single tokens with 0.1 added to each count.  Null and empty texts are an end alone; repeated rows are
-    scored alike; a model of no text gives every text probability 1.  One pass without a shuffle; workers map the model's files,
+    scored alike; a model of no text gives every text probability 1; a worker that can't see the model's files raises.  One pass without a shuffle; workers map the model's files,
     so their memory doesn't grow with the model.  Perplexity is 10 ** (-score / n_tokens)."""
     src = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"))
     return src.mapInArrow(_score(model), _OUT)
