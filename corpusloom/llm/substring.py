@@ -13,11 +13,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._shared import buckets_for, text_bytes_of
+from ._shared import buckets_for, by_bucket, text_bytes_of
 from ._words import Words, from_planes, groups_of, mix, planes, rolling, slices, starts_of_windows
 
 _NONE = -(1 << 63)
-#: bucket; kind 0: window hashes or texts, 1: what the buckets answered; payload.
+#: bucket; kind 0: window hashes or texts, 1: what the buckets answered, 2: positions of windows that repeat in their own slice, 3: the
+#: hashes of these, once for each slice; payload.
 _MSG = pa.schema([("bucket", pa.int32()), ("kind", pa.int8()), ("a", pa.binary()), ("b", pa.binary()), ("c", pa.binary()), ("d", pa.binary()), ("e", pa.binary())])
 _DDL = "bucket int, kind tinyint, a binary, b binary, c binary, d binary, e binary"
 
@@ -49,7 +50,10 @@ def _unpack(a, b, c, d):
 
 
 def _scatter(window: int, n_buckets: int):
-    """Map side: hashes of all windows, one message for each slice and bucket."""
+    """Map side: hashes of all windows, one message for each slice and bucket.
+
+    A window that repeats within the slice is known to be repeated: its positions pass through any bucket, and its hash goes to its
+    own once, so that a window that stands everywhere costs its bucket one hash for each slice, not one for each occurrence."""
 
     def run(batches):
         for b in slices(batches, 1, 6 << 20, 65536):
@@ -60,44 +64,64 @@ def _scatter(window: int, n_buckets: int):
                 continue
             h, row, pos = h[at], w.row[at], at - w.first[w.row[at]]
             ids, crc = _keys(b, 0, 1)
-            bucket = ((mix(h, 0x5151) >> np.uint64(20)) % np.uint64(n_buckets)).astype(np.int64)
-            order, which, bound = groups_of(bucket)
+            s = np.sort(h)
+            many = np.unique(s[1:][s[1:] == s[:-1]])
             out = []
-            for k, lo, hi in zip(which, bound, bound[1:]):
-                mine = order[lo:hi]
+
+            def say(bucket: int, kind: int, hashes: bytes, mine: np.ndarray) -> None:
                 r = row[mine]
                 cut = np.flatnonzero(np.concatenate([[True], r[1:] != r[:-1]]))
                 d = r[cut]
-                out.append((int(k), 0, h[mine].astype("<u8").tobytes(), *_pack(ids[d], crc[d], np.append(cut, len(r)), pos[mine])))
+                out.append((bucket, kind, hashes, *_pack(ids[d], crc[d], np.append(cut, len(r)), pos[mine])))  # noqa: B023
+
+            once = np.arange(len(h))
+            if len(many):
+                here = many[np.minimum(np.searchsorted(many, h), len(many) - 1)] == h
+                once, often = np.flatnonzero(~here), np.flatnonzero(here)
+                say(int(s[len(s) // 2] % np.uint64(n_buckets)), 2, b"", often)
+                order, which, bound = groups_of(_bucket_of(many, n_buckets))
+                out += [(int(k), 3, many[order[lo:hi]].astype("<u8").tobytes(), b"", b"", b"", b"") for k, lo, hi in zip(which, bound, bound[1:])]
+            order, which, bound = groups_of(_bucket_of(h[once], n_buckets))
+            for k, lo, hi in zip(which, bound, bound[1:]):
+                mine = once[order[lo:hi]]
+                say(int(k), 0, h[mine].astype("<u8").tobytes(), mine)
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), _MSG)], schema=_MSG)
 
     return run
 
 
+def _bucket_of(h: np.ndarray, n: int) -> np.ndarray:
+    return ((mix(h, 0x5151) >> np.uint64(20)) % np.uint64(n)).astype(np.int64)
+
+
 def _repeated(n_docs: int):
-    """Bucket side: a window counts as repeated if its hash occurs twice in the bucket, which holds all its occurrences."""
+    """Bucket side: a window counts as repeated if its hash occurs twice in the bucket or repeats in a slice."""
 
     def run(table: pa.Table) -> pa.Table:
         msgs = table.combine_chunks()
-        n = msgs.num_rows
-        hs = [np.frombuffer(x.as_py(), "<u8") for x in msgs["a"]]
-        size = np.array([len(x) for x in hs])
-        h = np.concatenate(hs)
+        kind = msgs["kind"].to_numpy()
+        single = [int(i) for i in np.flatnonzero(kind == 0)]
+        hs = [np.frombuffer(msgs["a"][i].as_py(), "<u8") for i in single]
+        often = [np.frombuffer(msgs["a"][int(i)].as_py(), "<u8") for i in np.flatnonzero(kind == 3)]
+        edge = np.concatenate([[0], np.cumsum([len(x) for x in hs])]).astype(np.int64)
+        h = np.concatenate([np.empty(0, np.uint64), *hs])
         del hs
         s = np.sort(h)
-        twice = np.unique(s[1:][s[1:] == s[:-1]])
-        del s
+        twice = np.unique(np.concatenate([s[1:][s[1:] == s[:-1]], *often]))
+        del s, often
         near = np.searchsorted(twice, h)
         hit = (twice[np.minimum(near, len(twice) - 1)] == h) if len(twice) else np.zeros(len(h), bool)
         del h, near
-        edge = np.concatenate([[0], np.cumsum(size)])
         ids, crc, pos = [], [], []
-        for i in range(n):
-            mine = hit[edge[i] : edge[i + 1]]
+        for i, lo, hi in zip(single, edge, edge[1:]):
+            mine = hit[lo:hi]
             if mine.any():
                 di, dc, count, p = _unpack(*(msgs[x][i].as_py() for x in "bcde"))
                 row = np.repeat(np.arange(len(di)), count)[mine]
                 ids.append(di[row]), crc.append(dc[row]), pos.append(p[mine])
+        for i in np.flatnonzero(kind == 2):
+            di, dc, count, p = _unpack(*(msgs[x][int(i)].as_py() for x in "bcde"))
+            ids.append(np.repeat(di, count)), crc.append(np.repeat(dc, count)), pos.append(p)
         if not ids:
             return _MSG.empty_table()
         ids, crc, pos = np.concatenate(ids), np.concatenate(crc), np.concatenate(pos)
@@ -192,8 +216,8 @@ def remove_repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     A column of ``docs`` with one of the new names is replaced.
 
     Plan: all windows' 64-bit hashes go once, in packed messages, to the bucket that a second hash names (so 64 bits
-    and the bucket's must agree before two windows are taken as one); a bucket sorts its hashes, which are spread
-    evenly whatever repeats; it answers only with repeated positions.  Texts go once, compressed, to meet them.
+    and the bucket's must agree before two windows are taken as one); windows that repeat within a slice of texts are combined there, so no
+    bucket gets more than one hash of a window for each slice; it answers only with repeated positions.  Texts go once, compressed, to meet them.
     """
     new = ("n_words", "n_removed", "kept_sha256", "kept_text", "removed")
     rest = [c for c in docs.columns if c not in (id_col, text_col, *new)]
@@ -207,6 +231,7 @@ def remove_repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     from pyspark.sql.pandas.types import to_arrow_schema
 
     arrow = to_arrow_schema(result)
-    answers = keys.mapInArrow(_scatter(window, n_buckets), _DDL).repartition(n_buckets, "bucket").groupBy("bucket").applyInArrow(_repeated(n_docs), _DDL)
+    answers = keys.mapInArrow(_scatter(window, n_buckets), _DDL)
+    answers = by_bucket(answers, n_buckets).applyInArrow(_repeated(n_docs), _DDL)
     texts = src.mapInArrow(_texts(n_docs), _DDL)
-    return texts.unionByName(answers).repartition(n_docs, "bucket").groupBy("bucket").applyInArrow(_merge(window, arrow), result)
+    return by_bucket(texts.unionByName(answers), n_docs).applyInArrow(_merge(window, arrow), result)

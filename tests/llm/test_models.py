@@ -1,5 +1,6 @@
 import math
 import random
+import shutil
 from collections import Counter, defaultdict
 
 import pytest
@@ -80,12 +81,19 @@ def test_crowded_contexts_are_spread(spark):
     data = [(i, " ".join(f"the w{(i * 31 + j) % 500}" for j in range(80))) for i in range(60)]
     df = spark.createDataFrame(data, "doc_id long, text string")
     m = K.train(df, shard_bytes=1 << 12)
-    assert len(m.crowded)
+    assert len(m.crowded) and m.crowded[:, 1].max() > 15  # a context of half the pairs has more parts than others
     b = Brute([t for _, t in data])
     for r in K.score(df, m).collect():
         assert r.score == pytest.approx(b.score(data[r.doc_id][1])[-1], rel=1e-6)
 
 
+def test_a_lost_shard_is_an_error(spark, docs):
+    m = K.train(docs, shard_bytes=1 << 12)
+    shutil.rmtree(f"{m.path}/{min(x for x in m.saved if x.startswith('pairs'))}")
+    with pytest.raises(Exception, match="FileNotFoundError"):
+        K.score(docs, m).collect()
+
+
 def test_perplexity_is_that_of_brute_force(spark, docs, rows):
     ids = sorted({r[0] for r in rows if r[0] is not None})
     labels = spark.createDataFrame([(i, 1) for i in ids if i > 9] + [(ids[0], 0), (50, 1)], "doc_id long, quality int")

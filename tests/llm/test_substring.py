@@ -1,4 +1,5 @@
 import hashlib
+import random
 from collections import Counter
 
 from corpusloom.llm import substring as S
@@ -34,3 +35,13 @@ def test_intervals_are_maximal(spark):
 
 def test_empty(empty):
     assert S.remove_repeated(empty).count() == 0
+
+
+def test_boilerplate_of_every_document(spark):
+    rng = random.Random(4)
+    boiler = " ".join(f"b{i}" for i in range(60))
+    data = [(i, " ".join(f"u{rng.randrange(10**7)}" for _ in range(20)) + (" " + boiler) * (1 + i % 3 // 2)) for i in range(500)]
+    data += [(1000, " ".join(boiler.split()[:35])), (1001, " ".join(boiler.split()[:34])), (1002, " ".join(["same"] * 90))]
+    df = spark.createDataFrame(data, "doc_id long, text string").repartition(7)
+    got = sorted(tuple(r[c] for c in ("doc_id", "n_words", "n_removed", "kept_sha256", "kept_text")) for r in S.remove_repeated(df).collect())
+    assert got == sorted(brute(data))
