@@ -4,6 +4,7 @@ import shutil
 from collections import Counter, defaultdict
 
 import pytest
+import zstandard
 from pyspark.sql import functions as F
 
 from corpusloom.llm import kneser_ney as K
@@ -130,6 +131,35 @@ def test_languages_on_held_out_documents(spark):
     assert all(0 <= r.score <= 1 for r in got.values()) and len(got) == len(lang)
 
 
+def test_languages_are_those_of_a_plain_loop(spark, docs, rows):
+    """Sizes again, text by text: every whole text of sf0.001 and of the fixture, in blocks, with each dictionary."""
+    known = L.learn(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), "text", "lang")
+    assert set(known) == {"de", "en", "es", "fr"} and all(10_000 < len(d) <= (96 << 10) + 1 for _, d in known.values())
+    more = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    got = Counter((r.doc_id, r.lang_pred, round(r.margin, 9), round(r.score, 9), r.rejected) for r in L.identify(docs.select("doc_id", "text").unionByName(more), known).collect())
+    press = {k: zstandard.ZstdCompressor(level=6, dict_data=zstandard.ZstdCompressionDict(d, dict_type=zstandard.DICT_TYPE_RAWCONTENT), write_checksum=False, write_content_size=False, write_dict_id=False) for k, (_, d) in known.items()}
+    want = Counter()
+    for i, t in [r[:2] for r in rows] + [tuple(r) for r in more.collect()]:
+        if not any(c.isalpha() for c in t or ""):
+            want[i, "und", 0.0, 0.0, True] += 1
+            continue
+        raw = " ".join("".join(c if c.isalpha() and c.isascii() or ord(c) > 127 else " " for c in t.lower()).split(" ")).encode()
+        raw = b" ".join(raw.split())
+        size = {k: sum(len(p.compress(raw[x : x + 8192])) for x in range(0, len(raw), 8192)) for k, p in press.items()}
+        best = min(size, key=lambda k: (size[k], -known[k][0], k))
+        rest = [s for k, s in size.items() if k != best]
+        margin = 1 - size[best] / min(rest)
+        want[i, best, round(margin, 9), round(1 / (1 + sum(2.0 ** -(2 * (s - size[best])) for s in rest)), 9), margin < 0.01] += 1
+    assert got == want
+
+
+def test_samples_of_long_texts_come_from_all_over_them(spark):
+    text = " ".join(f"{chr(97 + i // 2600 % 26)}{i}" for i in range(60_000))
+    df = spark.createDataFrame([(text, "xx"), ("short", "yy")], "t string, l string")
+    got = L.learn(df, "t", "l")
+    assert set("abw") <= set(got["xx"][1].decode()) and len(got["xx"][1]) < 2100 and got["yy"] == (1, b"short ")
+
+
 def test_language_edges(docs, empty, rows):
     rng = random.Random(1)
     known = {"aa": (10, b" ".join(bytes(rng.choices(b"abcd", k=5)) for _ in range(2000))), "zz": (10, b" ".join(bytes(rng.choices(b"wxyz", k=5)) for _ in range(2000)))}
