@@ -65,7 +65,7 @@ def op6_quality_perplexity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return licenses.scan(table(spark, sf_dir, "documents"), licenses.known_digests(spark))
+    return licenses.scan(table(spark, sf_dir, "documents"), licenses.known_digests(spark, digests=licenses.DIGESTS))
 
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -105,4 +105,4 @@ SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(m.r, w.doc_id) AS comp
 FROM w LEFT JOIN n ON n.doc_id = w.doc_id LEFT JOIN m ON m.doc_id = w.doc_id"""
 
 QUERIES = {f.__name__: f for f in (op1_warc_fixity, op2_decontam, op3_quality_rules, op4_near_dedup, op5_language_id, op6_quality_perplexity, op7_license_scan, op8_packing, op9_lm_scoring, op10_substring_dedup)}
-ORACLE = {"op1_warc_fixity": OP1_SQL, "op2_decontam": decontam.ORACLE, "op4_near_dedup": OP4_SQL, "op7_license_scan": licenses.scan_sql(), "op10_substring_dedup": OP10_SQL}
+ORACLE = {"op1_warc_fixity": OP1_SQL, "op2_decontam": decontam.ORACLE, "op4_near_dedup": OP4_SQL, "op7_license_scan": licenses.scan_sql(digests=licenses.DIGESTS), "op10_substring_dedup": OP10_SQL}

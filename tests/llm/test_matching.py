@@ -1,5 +1,10 @@
 import gzip
 import re
+from collections import Counter
+
+import duckdb
+import pandas as pd
+from pyspark.sql import functions as F
 
 from corpusloom.llm import decontam as D
 from corpusloom.llm import licenses as C
@@ -70,6 +75,24 @@ def test_licences(spark, docs, empty):
     assert known.count() == len(C.KNOWN)
 
 
+def test_whole_licences_are_found_as_in_sql(spark, docs, rows, tmp_path):
+    """A table in which every known text stands whole, spelt otherwise, with a notice and repeated; and a clashing column."""
+    for name in ("Apache-2.0", "GPL-2.0"):
+        (tmp_path / f"{name}.txt").write_text(f"{name} made up\n\nTerms of {name}, section 1.\n" * 400)
+    long_ = {r.license_id: r.digest for r in C.digests_of(C.texts_in(spark, str(tmp_path))).collect()}
+    texts = C.KNOWN | {n: (tmp_path / f"{n}.txt").read_text() for n in long_}
+    data = [(i, t) for i, t in enumerate(t for v in texts.values() for t in (v, v.upper(), "Copyright 2021 Someone\n" + v.replace(" ", "\n  ").replace(",", " ;"), v + " x"))] * 2
+    df = spark.createDataFrame(data, "doc_id long, text string").unionByName(docs.select("doc_id", "text", "key", "label"), allowMissingColumns=True)
+    got = sorted(map(tuple, C.scan(df.withColumn("digest", F.lit("x")).withColumn("license_id", F.lit("y")), C.known_digests(spark, digests=long_)).collect()), key=str)
+    table = pd.DataFrame(data + [(r[0], r[1]) for r in rows], columns=["doc_id", "text"]).astype({"doc_id": "Int64"})
+    con = duckdb.connect()
+    con.register("documents", table)
+    assert got == sorted(con.sql(C.scan_sql(digests=long_)).fetchall(), key=str)
+    found = Counter(r[2] for r in got)
+    assert all(found[n] == 6 for n in texts)
+    assert len(C.DIGESTS) >= 13 and C.known_digests(spark, digests=C.DIGESTS).count() == len(C.KNOWN) + len(C.DIGESTS)
+
+
 def records(spark, rows):
     return spark.createDataFrame(rows, "archive string, ord long, offset long, length long, payload binary")
 
