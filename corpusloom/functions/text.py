@@ -55,7 +55,7 @@ def compact_lines(c: Column) -> Column:
 
 
 def slug(c: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(F.lower(c), r"[^\p{L}\p{N}_]+", "_"), "^_+|_+$|(?<=_)_+", "")
+    return F.btrim(F.regexp_replace(F.lower(c), r"[^\p{L}\p{N}]+", "_"), F.lit("_"))
 
 
 def slug_tokens(c: Column) -> Column:

@@ -124,8 +124,7 @@ def index(spark: SparkSession, out: str) -> None:
     """Postings and vectors of a pack, stamped with its fingerprint."""
     chunks = read(spark, out)["chunks"]
     _write(lexical.postings(chunks, "chunk_id", "content"), f"{out}/postings.parquet")
-    numbered = chunks.select("chunk_id", F.xxhash64("chunk_id").alias("doc_id"), "content")
-    _write(vectors.embed(numbered, "doc_id", "content").join(numbered.select("doc_id", "chunk_id"), "doc_id"), f"{out}/vectors.parquet")
+    _write(vectors.embed(chunks, "chunk_id", "content"), f"{out}/vectors.parquet")
     Path(out, "_fingerprint").write_text(json.loads(Path(out, "pack.json").read_text())["fingerprint"])
 
 
@@ -146,7 +145,7 @@ def search(spark: SparkSession, out: str, queries: DataFrame, mode: str = "hybri
     if mode != "lexical":
         stored = spark.read.parquet(f"{out}/vectors.parquet")
         asked = vectors.embed(queries, "query_id", "query").withColumnRenamed("doc_id", "query_id")
-        vec = vectors.topk(stored, asked, pool).join(stored.select("doc_id", "chunk_id"), "doc_id").select("query_id", F.col("chunk_id").alias("doc_id"), "rank", "score")
+        vec = vectors.topk(stored, asked, pool)
     hits = lex if vec is None else vec if lex is None else lexical.fuse(lex, vec, wide)
     found = hits.select("query_id", "rank", F.col("doc_id").alias("chunk_id"), "score").join(chunks.drop("ord"), "chunk_id")
     found = found.withColumn("source_path", F.col("path"))

@@ -199,12 +199,17 @@ def raw_file_search(spark, sf):
     return lexical.search(table(spark, sf, "documents"), asked(spark, sf), 3, "plain")
 
 
-_NAIVE = "SELECT doc_id * 1000 + s // 4000 AS doc_id, substr(text, CAST(s AS BIGINT) + 1, 4000) AS text FROM (SELECT doc_id, text, unnest(range(0, CAST(length(text) AS BIGINT), 4000)) AS s FROM documents)"
+#: Ids of chunks: the document's id and the chunk's number as text, so that a text of any length has its own.
+_NAIVE = "SELECT doc_id || '-' || (s // 4000) AS doc_id, substr(text, CAST(s AS BIGINT) + 1, 4000) AS text FROM (SELECT doc_id, text, unnest(range(0, CAST(length(text) AS BIGINT), 4000)) AS s FROM documents)"
+
+
+def _part(*cols: str):
+    return F.concat_ws("-", *[F.col(c).cast("string") for c in cols])
 
 
 def _naive(spark, sf):
     c = chunking.fixed(table(spark, sf, "documents"))
-    return c.select((F.col("doc_id") * 1000 + F.col("chunk_ord")).alias("doc_id"), F.col("content").alias("text"))
+    return c.select(_part("doc_id", "chunk_ord").alias("doc_id"), F.col("content").alias("text"))
 
 
 @query(f"WITH {_bm25(_NAIVE, _UNIT(_RAW))}, {_ranked('SELECT * FROM hits', 3)} SELECT * FROM out")
@@ -225,31 +230,30 @@ def naive_vector_search(spark, sf):
     return vectors.topk(vectors.embed(_naive(spark, sf)), q, 3)
 
 
-_CHILD = """SELECT doc_id * 1000000 + p * 1000 + s // 400 AS doc_id, substr(parent, CAST(s AS BIGINT) + 1, 400) AS text FROM (SELECT doc_id, p, parent, unnest(range(0, CAST(length(parent) AS BIGINT), 400)) AS s FROM (SELECT doc_id, s // 2000 AS p, substr(text, CAST(s AS BIGINT) + 1, 2000) AS parent FROM (SELECT doc_id, text, unnest(range(0, CAST(length(text) AS BIGINT), 2000)) AS s FROM documents)))"""
+_CHILD = """SELECT doc_id || '-' || p || '-' || (s // 400) AS doc_id, substr(parent, CAST(s AS BIGINT) + 1, 400) AS text FROM (SELECT doc_id, p, parent, unnest(range(0, CAST(length(parent) AS BIGINT), 400)) AS s FROM (SELECT doc_id, s // 2000 AS p, substr(text, CAST(s AS BIGINT) + 1, 2000) AS parent FROM (SELECT doc_id, text, unnest(range(0, CAST(length(text) AS BIGINT), 2000)) AS s FROM documents)))"""
 
 
-@query(f"{_dense_sql(_CHILD, 3)}, b AS (SELECT query_id, doc_id // 1000 AS parent_id, max(score) AS score FROM r GROUP BY ALL) SELECT query_id, parent_id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, parent_id) AS INTEGER) AS rank FROM b QUALIFY rank <= 3")
+@query(f"{_dense_sql(_CHILD, 3)}, b AS (SELECT query_id, regexp_replace(doc_id, '-[0-9]+$', '') AS parent_id, max(score) AS score FROM r GROUP BY ALL) SELECT query_id, parent_id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, parent_id) AS INTEGER) AS rank FROM b QUALIFY rank <= 3")
 def parent_document_search(spark, sf):
     """Children are matched; each parent counts once, by its best child."""
     c = chunking.parent_child(table(spark, sf, "documents"))
-    kids = c.select((F.col("doc_id") * 1000000 + F.col("parent_ord") * 1000 + F.col("child_ord")).alias("doc_id"), F.col("content").alias("text"))
+    kids = c.select(_part("doc_id", "parent_ord", "child_ord").alias("doc_id"), F.col("content").alias("text"))
     q = vectors.embed(asked(spark, sf), "query_id", "query").withColumnRenamed("doc_id", "query_id")
     hits = vectors.topk(vectors.embed(kids), q, 3 * 5)  # a parent has five children at most, so its best are among these
-    best = hits.groupBy("query_id", F.expr("doc_id div 1000").alias("parent_id")).agg(F.max("score").alias("score"))
+    best = hits.groupBy("query_id", F.regexp_replace("doc_id", "-[0-9]+$", "").alias("parent_id")).agg(F.max("score").alias("score"))
     w = W.partitionBy("query_id").orderBy(F.col("score").desc(), "parent_id")
     return best.withColumn("rank", F.row_number().over(w)).filter("rank <= 3")
 
 
 @query()
 def recursive_vector_search(spark, sf):
-    c = chunking.recursive(table(spark, sf, "documents")).select((F.col("doc_id") * 1000 + F.col("chunk_ord")).alias("doc_id"), F.col("content").alias("text"))
+    c = chunking.recursive(table(spark, sf, "documents")).select(_part("doc_id", "chunk_ord").alias("doc_id"), F.col("content").alias("text"))
     return vectors.topk(vectors.embed(c), vectors.embed(asked(spark, sf), "query_id", "query").withColumnRenamed("doc_id", "query_id"), 3)
 
 
 def _gold(spark, sf):
     d, b = table(spark, sf, "documents"), table(spark, sf, "benchmark")
-    held = d.join(b.select("item_id", F.col("text").alias("passage")), F.contains(F.col("text"), F.col("passage")))
-    return held.select(F.col("item_id").alias("query_id"), F.concat(F.lit("doc_"), F.col("doc_id").cast("string")).alias("file"), F.lit(None).cast("string").alias("section"))
+    return evaluation.holders(d, b).select(F.col("item_id").alias("query_id"), F.concat(F.lit("doc_"), F.col("doc_id").cast("string")).alias("file"), F.lit(None).cast("string").alias("section"))
 
 
 _GOLD = "SELECT item_id AS query_id, 'doc_' || doc_id AS file, CAST(NULL AS VARCHAR) AS section FROM benchmark b JOIN documents d ON contains(d.text, b.text)"
@@ -291,11 +295,11 @@ def _found_texts(spark, sf, mode: str):
     d = table(spark, sf, "documents")
     file = F.concat(F.lit("doc_"), F.col("doc_id").cast("string")).alias("file")
     if mode in ("naive_chunk", "naive_vector"):
-        return _naive(spark, sf).select(F.col("doc_id").alias("id"), F.concat(F.lit("doc_"), F.expr("doc_id div 1000").cast("string")).alias("file"), "text")
+        return _naive(spark, sf).select(F.col("doc_id").alias("id"), F.concat(F.lit("doc_"), F.regexp_replace("doc_id", "-[0-9]+$", "")).alias("file"), "text")
     if mode == "recursive_vector":
-        return chunking.recursive(d).select((F.col("doc_id") * 1000 + F.col("chunk_ord")).alias("id"), file, F.col("content").alias("text"))
+        return chunking.recursive(d).select(_part("doc_id", "chunk_ord").alias("id"), file, F.col("content").alias("text"))
     if mode == "parent_document":
-        return chunking.fixed(d, 2000).select((F.col("doc_id") * 1000 + F.col("chunk_ord")).alias("id"), file, F.col("content").alias("text"))
+        return chunking.fixed(d, 2000).select(_part("doc_id", "chunk_ord").alias("id"), file, F.col("content").alias("text"))
     return d.select(F.col("doc_id").alias("id"), file, "text")
 
 

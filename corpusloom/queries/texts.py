@@ -121,8 +121,8 @@ def recursive_chunks(spark, sf):
 
 @query()
 def greedy_chunks(spark, sf):
-    b = B.paragraphs(table(spark, sf, "documents"), "\n").withColumnRenamed("doc_id", "source_id")
-    return chunking.greedy(b).select("source_id", "chunk_ord", "token_count", "content")
+    blocks = F.transform(B.pieces(F.col("text"), "\n"), lambda x: F.struct(x.alias("text")))
+    return chunking.greedy_rows(table(spark, sf, "documents").select(F.col("doc_id").alias("source_id"), blocks.alias("blocks"))).select("source_id", "chunk_ord", "token_count", "content")
 
 
 @query(f"SELECT doc_id, array_to_string(list_filter(string_split(text || chr(10) || chr(10) || ' x', chr(10)), lambda x: {STRIP('x')} <> ''), chr(10)) AS text FROM documents")

@@ -9,10 +9,14 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 
 
+def pieces(text: Column, delimiter: str = "\n\n") -> Column:
+    """Trimmed, non-empty pieces of a text, as an array."""
+    return F.filter(F.transform(F.split(text, delimiter), T.strip), lambda x: x != "")
+
+
 def paragraphs(docs: DataFrame, delimiter: str = "\n\n", key: str = "doc_id", text_col: str = "text") -> DataFrame:
     """key, block_ord, text, tokens: trimmed, non-empty pieces, numbered after empty ones are gone.  No shuffle."""
-    parts = F.filter(F.transform(F.split(F.col(text_col), delimiter), T.strip), lambda x: x != "")
-    flat = docs.select(key, F.posexplode(parts).alias("block_ord", "text"))
+    flat = docs.select(key, F.posexplode(pieces(F.col(text_col), delimiter)).alias("block_ord", "text"))
     return flat.withColumn("tokens", T.token_count(F.col("text")))
 
 
