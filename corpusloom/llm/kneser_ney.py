@@ -348,18 +348,19 @@ def _score(m: Model):
             base = np.log10((c + 0.1) / (m.tokens + 0.1 * (m.types + 1)))
             rows = b.num_rows
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(np.diff(first)), pa.array(per_row((c > 0)[slot].astype(np.int64), first)), pa.array(np.full(rows, m.tokens)), pa.array(per_row(base[slot], first)), pa.array(per_row(np.log10(prob)[again], first))],
-                names=[x.split()[0] for x in _OUT.split(", ")],
+                [b.column(0), *b.columns[2:], pa.array(np.diff(first)), pa.array(per_row((c > 0)[slot].astype(np.int64), first)), pa.array(np.full(rows, m.tokens)), pa.array(per_row(base[slot], first)), pa.array(per_row(np.log10(prob)[again], first))],
+                names=["doc_id", *b.schema.names[2:], *[x.split()[0] for x in _OUT.split(", ")[1:]]],
             )
 
     return run
 
 
-def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", along: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, n_tokens (words and one end), n_known, train_tokens, base_score, score (log10 probability of the whole text).
 
     base_score is that of single tokens with 0.1 added to each count.  Null and empty texts are an end alone; repeated rows are
     scored alike; a model of no text gives every text probability 1; a worker that can't see the model's files raises.  One pass without a shuffle; workers map the model's files,
-    so their memory doesn't grow with the model.  Perplexity is 10 ** (-score / n_tokens)."""
-    src = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"))
-    return src.mapInArrow(_score(model), _OUT)
+    so their memory doesn't grow with the model.  Perplexity is 10 ** (-score / n_tokens).  Columns named by ``along`` come along, as strings,
+    after doc_id."""
+    src = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"), *[F.col(f"`{c}`").cast("string").alias(c) for c in along])
+    return src.mapInArrow(_score(model), _OUT.replace(",", "".join(f", `{c}` string" for c in along) + ",", 1))

@@ -114,6 +114,20 @@ def test_perplexity_is_that_of_brute_force(spark, docs, rows):
     assert any(r.threshold is not None for r in got)
 
 
+def test_all_trusted_text_counts(spark):
+    """36 MB of it: half trains, and every document of the other half sets the threshold."""
+    rng = random.Random(7)
+    vocabulary = [f"{i}-" + "x" * 2000 for i in range(50)]
+    data = [(i, " ".join(rng.choices(vocabulary, range(1, 51), k=150)), "en") for i in range(120)]
+    df = spark.createDataFrame(data, "doc_id long, text string, lang string").repartition(3)
+    got = {r.doc_id: r for r in X.classify(df, spark.range(120).selectExpr("id AS doc_id", "1 AS quality"), quantile=0.9, min_calibration=10).collect()}
+    drawn = {r.id for r in spark.range(120).filter(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < (1 << 19)).collect()}
+    b = Brute([t for i, t, _ in data if i in drawn])
+    assert all(got[i].log10_prob == pytest.approx(b.score(t)[-1], abs=1e-5) for i, t, _ in data)
+    held = sorted(got[i].perplexity for i in set(got) - drawn)
+    assert {r.threshold for r in got.values()} == {held[math.ceil(round(0.9 * len(held), 6)) - 1]}
+
+
 def test_perplexity_edges(spark, docs, empty, rows):
     none = spark.createDataFrame([], "doc_id long, quality int")
     got = X.classify(docs, none).collect()
