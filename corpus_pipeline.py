@@ -1,7 +1,7 @@
 """A training-data pipeline: quality rules, near-duplicates, repeated passages, benchmark passages, packing.
 
 Each stage takes the documents that the one before it kept, and its decisions take effect: all stages but the last return the
-columns of ``documents``.  An empty table passes through all of them; rows with a null text fail the quality rules."""
+columns of ``documents``.  Executors give freed memory back before each.  An empty table passes through all of them; rows with a null text fail the quality rules."""
 
 from __future__ import annotations
 
@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.llm import decontam, neardup, packing, quality_rules, substring
-from corpusloom.llm._shared import written
+from corpusloom.llm._shared import give_back, written
 from corpusloom.llm.queries import TOKENIZER, table
 from corpusloom.session import ship
 
@@ -18,19 +18,19 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that fail the base test or break a certified rule go."""
-    ship(spark)
+    give_back(ship(spark))
     return quality_rules.keep_quality(docs, table(spark, sf_dir, "labels")).select(*COLUMNS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of linked documents the one with the smallest id stays."""
-    ship(spark)
+    give_back(ship(spark))
     return neardup.keep_first(docs).select(*COLUMNS)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Words of passages that stand elsewhere too are taken out of the texts; a text that loses nothing stays as it is."""
-    ship(spark)
+    give_back(ship(spark))
     text = F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("text"))
     out = substring.remove_repeated(docs).withColumn("text", text)
     return out.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
@@ -38,14 +38,14 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item go."""
-    ship(spark)
+    give_back(ship(spark))
     hits = written(decontam.find(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct(), "hits")
     return docs.join(hits, "doc_id", "left_anti").select(*COLUMNS)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of what is left, placed in sequences of 2048 tokens."""
-    ship(spark)
+    give_back(ship(spark))
     return packing.pack(docs, TOKENIZER)
 
 

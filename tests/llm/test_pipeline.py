@@ -41,3 +41,14 @@ def test_empty_table_passes_through(spark):
         assert docs.count() == 0
         docs = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
     assert shared_folder(spark)
+
+
+def test_stages_begin_with_memory_given_back(spark):
+    """A full collection in the executors (here the driver's JVM) before each stage."""
+    beans = spark._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans
+    full = lambda: sum(b.getCollectionCount() for b in beans() if b.getName() in ("G1 Old Generation", "MarkSweepCompact", "PS MarkSweep"))
+    docs = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
+    for _, stage in P.STAGES:
+        before = full()
+        stage(spark, docs, "/root/testdata/sf0.001")
+        assert full() > before
