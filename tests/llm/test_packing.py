@@ -2,7 +2,10 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 from tokenizers import Tokenizer
+from tokenizers.models import WordLevel
+from tokenizers.pre_tokenizers import Whitespace
 
 from corpusloom.llm import packing as P
 from corpusloom.llm.queries import TOKENIZER
@@ -61,3 +64,45 @@ def test_patterns_hold_every_length():
 
 def test_empty(empty):
     assert P.pack(empty, TOKENIZER).collect() == []
+
+
+class Counting:
+    """A tokenizer that counts the texts it is given."""
+
+    def __init__(self, tok):
+        self.tok, self.texts = tok, 0
+
+    def encode_batch_fast(self, texts, **how):
+        self.texts += len(texts)
+        return self.tok.encode_batch_fast(texts, **how)
+
+
+def ids_of(encoder, texts):
+    flat, bounds = encoder(pa.array(texts, pa.string()))
+    return [flat[a:b].tolist() for a, b in zip(bounds, bounds[1:])]
+
+
+def test_new_units_share_calls_and_keep_their_ids():
+    """Units that may stand after each other are encoded several at a time; ends in white space, odd beginnings and other scripts are not mixed up."""
+    rng = random.Random(7)
+    parts = ["a", "Ab", "tion", "é", "ß", "ñ", "中", "😀", "\n", "\t", "\xa0", " ", "　", "\x85", "  ", "'s", "'", "12", "...", "_", "<|endoftext|>", "à"]
+    texts = [" ".join("".join(rng.choices(parts, k=rng.randrange(1, 6))) for _ in range(rng.randrange(0, 60))) + rng.choice(["", " ", "\n", "\xa0"]) for _ in range(300)]
+    texts += [None, "", " ", " x", "x ", "\xa0x y", "x" * 9000 + " y", "y " + "é" * 5000]
+    encoder = P._Encoder(TOKENIZER)
+    encoder.tok, tok = (counting := Counting(encoder.tok)), encoder.tok
+    want = [tok.encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert ids_of(encoder, texts[:100]) + ids_of(encoder, texts[100:]) == want
+    assert ids_of(encoder, texts[::-1]) == want[::-1]
+    counting.texts = 0
+    plain = ["start" + "".join(f" unit{i}" for i in range(5000))]
+    assert ids_of(encoder, plain) == [tok.encode(plain[0], add_special_tokens=False).ids]
+    assert counting.texts <= 1000  # 5001 new units
+
+
+def test_vocabularies_that_are_not_of_bytes(tmp_path):
+    """Widths of their tokens say nothing about the texts: every unit is encoded by itself."""
+    made = Tokenizer(WordLevel({"?": 0, "one": 1, "two": 2, "é": 3}, unk_token="?"))
+    made.pre_tokenizer = Whitespace()
+    made.save(str(tmp_path / "words.json"))
+    texts = ["one two é three", "", None, "é é  one\n", "three four five two"]
+    assert ids_of(P._Encoder(str(tmp_path / "words.json")), texts) == [made.encode(t or "", add_special_tokens=False).ids for t in texts]
